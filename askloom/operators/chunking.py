@@ -59,18 +59,22 @@ def explode_chunks(
     The long text and the array are gone; a document without chunks gives no row.
     """
     kept = [c for c in df.columns if c not in (text, chunks)]
-    return df.select(
-        *kept,
-        F.size(chunks).alias("num_chunks"),
-        F.posexplode(chunks).alias("chunk_no", "_chunk"),
-    ).select(
-        *kept,
-        "num_chunks",
-        "chunk_no",
-        F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_no").cast("string")).alias(
-            "chunk_id"
-        ),
-        F.col("_chunk").alias(text),
+    # The count is taken below the explode, or every chunk row would carry the whole array.
+    # An inner explode would make Spark infer a filter that cuts the text a second time,
+    # once per window; the outer one with the empty row dropped afterwards does not.
+    counted = df.select(*kept, F.size(chunks).alias("num_chunks"), chunks)
+    return (
+        counted.select(*kept, "num_chunks", F.posexplode_outer(chunks).alias("chunk_no", "_chunk"))
+        .filter(F.col("chunk_no").isNotNull())
+        .select(
+            *kept,
+            "num_chunks",
+            "chunk_no",
+            F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_no").cast("string")).alias(
+                "chunk_id"
+            ),
+            F.col("_chunk").alias(text),
+        )
     )
 
 

@@ -11,6 +11,7 @@ from askloom.functions.vectors import hashed_embedding
 from askloom.operators.chunking import chunk_documents
 from askloom.operators.embedding import embed
 from askloom.session import materialize
+from askloom.sources.documents import spread
 
 SIZE, OVERLAP, DIM, K = 100, 10, 64, 5
 ANCHOR_WORDS = 4
@@ -20,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in front of costly text work."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return chunk_documents(docs, size=SIZE, overlap=OVERLAP)
+    return chunk_documents(documents(spark, sf_dir), size=SIZE, overlap=OVERLAP)
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +89,7 @@ def _passage_sources(asked: DataFrame, documents: DataFrame) -> DataFrame:
 def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark as questions; the answer is the passage's sentence with most distinct words."""
     asked = questions(spark, sf_dir)
-    sources = _passage_sources(asked, table(spark, sf_dir, "documents"))
+    sources = _passage_sources(asked, documents(spark, sf_dir))
     ranked = F.transform(
         sentences("question"),
         lambda s, i: F.struct(

@@ -41,7 +41,8 @@ def query(run: Query) -> Query:
 def json_document_scan(spark, sf_dir):
     path = scratch_path(spark, "json")
     source = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    source.write.option("maxRecordsPerFile", 1).option("pretty", True).json(path)
+    writers = spark.sparkContext.defaultParallelism
+    source.repartition(writers).write.option("maxRecordsPerFile", 1).option("pretty", True).json(path)
     return docs.load_json(spark, path, source.schema)
 
 
@@ -406,34 +407,34 @@ def chunk_documents(spark, sf_dir):
 
 @query
 def chunk_documents_spaced(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fx.documents(spark, sf_dir).select("doc_id", "text")
     made = chunking.chunk_documents(rows, size=fx.SIZE, overlap=fx.OVERLAP, keep_spacing=True)
     return made.select("doc_id", "chunk_no", "text")
 
 
 @query
 def chunk_documents_no_tail(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fx.documents(spark, sf_dir).select("doc_id", "text")
     made = chunking.chunk_documents(rows, size=fx.SIZE, overlap=fx.OVERLAP, drop_contained_tail=True)
     return made.select("doc_id", "chunk_no", "num_chunks", "text")
 
 
 @query
 def chunk_documents_default(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fx.documents(spark, sf_dir).select("doc_id", "text")
     return chunking.chunk_documents(rows).select("doc_id", "chunk_no", "num_chunks", "text")
 
 
 @query
 def num_chunks(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fx.documents(spark, sf_dir).select("doc_id", "text")
     made = chunking.with_chunks(rows, size=fx.SIZE, overlap=fx.OVERLAP)
     return made.select("doc_id", F.size("chunks").alias("num_chunks"))
 
 
 @query
 def explode_chunks(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fx.documents(spark, sf_dir).select("doc_id", "text")
     made = chunking.with_chunks(rows, size=fx.SIZE, overlap=fx.OVERLAP)
     return chunking.explode_chunks(made).select("doc_id", "chunk_id", "text")
 
@@ -448,7 +449,7 @@ def text_length_chars(spark, sf_dir):
 @query
 def embed_text(spark, sf_dir):
     made = embedding.embed(
-        fx.table(spark, sf_dir, "documents").select("doc_id", "text"), embedder=hashed_embedding(fx.DIM)
+        fx.documents(spark, sf_dir).select("doc_id", "text"), embedder=hashed_embedding(fx.DIM)
     )
     return (
         made.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
@@ -573,7 +574,7 @@ def stream_index_sync(spark, sf_dir):
 @query
 def chunk_udf(spark, sf_dir):
     cut = chunking.chunk_udf(str.split, " ".join, fx.SIZE, fx.OVERLAP)
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fx.documents(spark, sf_dir).select("doc_id", "text")
     made = chunking.explode_chunks(rows.withColumn("chunks", cut("text")))
     return made.select("doc_id", "chunk_no", "text")
 

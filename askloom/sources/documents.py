@@ -52,6 +52,17 @@ def scan(spark: SparkSession, target: str, schema: T.StructType | None = None) -
     return reader.parquet(target)
 
 
+def spread(table: DataFrame, least: int | None = None) -> DataFrame:
+    """Rebalance a table that is read in fewer tasks than the session has cores.
+
+    Meant for a scan in front of costly per-row work: a few files with one row
+    group each would keep most cores idle. A table with enough splits, as any
+    large one, comes back as it is, without a shuffle.
+    """
+    least = least or table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= least else table.repartition(least)
+
+
 def all_columns(df: DataFrame) -> DataFrame:
     """Every column the table has at run time, as result columns."""
     return df.select(*df.columns)
