@@ -1,7 +1,5 @@
 """Dense vector columns: distances, and the built-in hashed term-count embedding."""
 
-from __future__ import annotations
-
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -104,13 +102,15 @@ def hashed_embedding(dim: int = 64) -> Callable[[Column | str], Column]:
 
     Words and buckets are computed JVM-side; only the small bucket numbers go
     through Arrow to be counted. Null text gives null, wordless text all zeros.
+    Like a model it is marked non-deterministic: a filter on the vector would
+    otherwise be pushed below the embedding step and compute it a second time.
     """
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
     def count_buckets(buckets: pa.Array) -> pa.Array:
         return _unit_counts(buckets, dim)
 
-    return lambda text: count_buckets(term_buckets(text, dim))
+    call = F.arrow_udf(count_buckets, T.ArrayType(T.FloatType())).asNondeterministic()
+    return lambda text: call(term_buckets(text, dim))
 
 
 def model_embedding(
@@ -133,6 +133,5 @@ def model_embedding(
             out[rows] = got
         return _as_lists(out, missing)
 
-    encode_column.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     call = F.arrow_udf(encode_column, T.ArrayType(T.FloatType())).asNondeterministic()
     return lambda text: call(_col(text))

@@ -148,6 +148,18 @@ def first_good_answer(
     return best.select(key, *[F.col(f"_best.{f}").alias(f) for f in fields])
 
 
+def best_answers(
+    questions: DataFrame,
+    candidates: DataFrame,
+    generator: Generator = overlap_generator,
+    key: str = "question_id",
+) -> DataFrame:
+    """Generate an answer from every candidate and keep each question's first good one."""
+    asked = candidates.join(questions.select(key, "question"), key)
+    scored = generate_answers(asked, generator).withColumn("source", source_of("metadata"))
+    return first_good_answer(scored, key)
+
+
 def answer_cascade(
     questions: DataFrame,
     candidates: DataFrame,
@@ -159,9 +171,7 @@ def answer_cascade(
     ``candidates`` holds ``key, rank, text, metadata``. Scores every candidate,
     which is right for cheap generators; see ``answer_until_good`` for paid models.
     """
-    asked = candidates.join(questions.select(key, "question"), key)
-    scored = generate_answers(asked, generator).withColumn("source", source_of("metadata"))
-    return keep_unanswered(questions, first_good_answer(scored, key), key)
+    return keep_unanswered(questions, best_answers(questions, candidates, generator, key), key)
 
 
 def answer_until_good(
@@ -254,8 +264,6 @@ def batch_predict(
         payload=("text", "metadata"),
         **search_options,
     )
-    answers = answer_cascade(asked.select("question_id", "question"), near, generator)
-    answered = keep_unanswered(
-        questions, answers.select("question_id", "answer", "source", "output_metadata")
-    )
+    best = best_answers(asked, near, generator)
+    answered = keep_unanswered(questions, best)
     return answered.withColumn("answer", F.coalesce(validate_question("question"), F.col("answer")))

@@ -12,7 +12,7 @@ def append_index(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def _tie(df: DataFrame) -> Column:
+def content_hash(df: DataFrame) -> Column:
     """A number fixed by the row's content, to settle equal versions the same way every time."""
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     return F.xxhash64(*plain)
@@ -24,7 +24,7 @@ def latest_per_key(df: DataFrame, key: str, version: str, *then: str) -> DataFra
     An aggregate rather than a window: each task reduces its rows before the
     shuffle, so a key with a third of all rows is no hot spot.
     """
-    order = F.struct(version, *then, _tie(df))
+    order = F.struct(version, *then, content_hash(df))
     rows = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("_row"))
     return rows.select("_row.*")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askloom.functions.vectors import METRICS
+from askloom.session import materialize
 
 BLOCK_ROWS = 16_384
 QUESTION_TILE = 256
@@ -82,6 +83,8 @@ def _block_topk(
         dots = asked @ block.T
         rough = -dots if metric == "ip" else sq_b[None, :] - 2 * dots
         scale = sq_a + sq_b.max()
+    rough[np.isnan(rough)] = np.inf  # last, as in Spark's order
+    scale = np.nan_to_num(scale, nan=0.0)
     if k < len(block):
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
         rows, cols = np.nonzero(rough <= (kth + 1e-9 * scale)[:, None])
@@ -101,6 +104,20 @@ def _block_topk(
     return rows[keep], cols[keep], exact[keep]
 
 
+def _without_spare_copies(block: np.ndarray, id_rank: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k nearest of any vector: the k smallest ids of each set of copies.
+
+    Copies are equally far from everything and ties go to the smaller id, so the
+    result stays exact however many copies a block holds.
+    """
+    weights = np.sqrt(np.arange(2.0, 2.0 + block.shape[1]))
+    order = np.lexsort((id_rank, _sum_dims(block * weights)))
+    ordered = block[order]
+    starts = np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)]
+    place = np.arange(len(order)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+    return order[place < k]
+
+
 def _search_block(
     asked_ids: pa.Array,
     asked: np.ndarray,
@@ -114,6 +131,8 @@ def _search_block(
         return
     rank = np.empty(len(ids), dtype=np.int64)
     rank[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+    kept = _without_spare_copies(block, rank, k)
+    block, rank, ids = block[kept], rank[kept], ids.take(pa.array(kept))
     for start in range(0, len(asked), QUESTION_TILE):
         rows, cols, dist = _block_topk(asked[start : start + QUESTION_TILE], block, rank, k, metric)
         yield pa.RecordBatch.from_arrays(
@@ -181,10 +200,10 @@ def nearest(
         raise ValueError(f"metric must be one of {METRICS}")
     if k < 1:
         raise ValueError("k must be at least 1")
-    asked = questions.select(question_key, vector).filter(F.col(vector).isNotNull())
-    found = _filtered(index, where).select(index_key, vector).filter(F.col(vector).isNotNull())
     if index_key == question_key:
         raise ValueError("question and index keys need different names")
+    asked = questions.select(question_key, vector).filter(F.col(vector).isNotNull())
+    found = _filtered(index, where).select(index_key, vector).filter(F.col(vector).isNotNull())
     schema = T.StructType(
         [asked.schema[question_key], found.schema[index_key], T.StructField("distance", T.DoubleType())]
     )
@@ -317,9 +336,15 @@ def knn(
 def retrieve(
     questions: DataFrame, index: DataFrame, embedder, k: int = 5, text: str = "question", **options
 ) -> DataFrame:
-    """Embed a question table and search it; question text and payload side by side."""
-    asked = questions.withColumn("embedding", embedder(text))
-    return knn(asked, index, k, **options)
+    """Embed a question table and search for it.
+
+    The vectors are stored first: the search looks at them more than once, and
+    an embedding model should be asked only once.
+    """
+    key = options.get("question_key", "question_id")
+    vector = options.get("vector", "embedding")
+    asked = questions.select(key, embedder(text).alias(vector))
+    return knn(materialize(asked, "questions"), index, k, **options)
 
 
 def to_documents(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

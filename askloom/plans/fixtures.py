@@ -49,12 +49,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _passage_sources(asked: DataFrame, documents: DataFrame) -> DataFrame:
+def _passage_sources(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     """Source of the lowest document holding each passage.
 
     Four consecutive inner words of the passage anchor it: they must occur in any
     document holding the passage, so an equi-join on them finds all candidates,
-    and only those texts are searched for the whole passage.
+    and only those texts are searched for the whole passage. The candidate pairs
+    are stored, so that Spark knows their size when it plans the join to the texts.
     """
 
     def runs(toks, first, count):
@@ -72,15 +73,19 @@ def _passage_sources(asked: DataFrame, documents: DataFrame) -> DataFrame:
             F.size("_t") >= ANCHOR_WORDS + 2, F.array_join(F.slice("_t", 2, ANCHOR_WORDS), " ")
         ).alias("_anchor"),
     )
-    toks = documents.withColumn("_t", tokens("text"))
+    table_texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    toks = documents(spark, sf_dir).withColumn("_t", tokens("text"))
     placed = toks.select(
         "doc_id",
         F.explode(
             F.array_distinct(runs(F.col("_t"), F.lit(1), F.size("_t") - (ANCHOR_WORDS - 1)))
         ).alias("_anchor"),
     )
-    pairs = placed.join(anchors.filter(F.col("_anchor").isNotNull()), "_anchor")
-    held = pairs.join(documents.select("doc_id", "text", "source"), "doc_id").filter(
+    pairs = materialize(
+        placed.join(anchors.filter(F.col("_anchor").isNotNull()), "_anchor").drop("_anchor"),
+        "anchored",
+    )
+    held = table_texts.join(pairs, "doc_id").filter(
         F.contains(F.col("text"), F.col("question"))
     )
     return held.groupBy("question_id").agg(F.min_by("source", "doc_id").alias("correct_source"))
@@ -89,7 +94,7 @@ def _passage_sources(asked: DataFrame, documents: DataFrame) -> DataFrame:
 def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark as questions; the answer is the passage's sentence with most distinct words."""
     asked = questions(spark, sf_dir)
-    sources = _passage_sources(asked, documents(spark, sf_dir))
+    sources = _passage_sources(spark, sf_dir, asked)
     ranked = F.transform(
         sentences("question"),
         lambda s, i: F.struct(

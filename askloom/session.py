@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "askloom", **conf: str) -> SparkSession:
@@ -30,6 +33,18 @@ def local_session(cores: int | str = "*", app: str = "askloom", **conf: str) ->
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = str(Path(tempfile.mkdtemp(prefix="askloom-zip-")) / package.name)
+    archive = shutil.make_archive(target, "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` as the session has it.
 

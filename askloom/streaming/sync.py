@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from askloom.functions.vectors import hashed_embedding
 from askloom.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, with_chunks
 from askloom.operators.embedding import Embedder, embed
+from askloom.operators.index import content_hash
+
+CHANGE_HASH = "change_hash"
 
 
 def index_changes(
@@ -23,11 +26,13 @@ def index_changes(
 ) -> DataFrame:
     """Changed documents to index log rows; a delete (or a chunkless text) keeps one marker row.
 
-    Narrow and stateless, so it runs the same on a stream and on a table.
+    Narrow and stateless, so it runs the same on a stream and on a table. Every
+    row carries the content hash of its change.
     """
-    kept = [c for c in changes.columns if c != text]
+    kept = [c for c in changes.columns if c != text] + [CHANGE_HASH]
     live = F.when(F.col(op_col) != "delete", F.col(text))
-    cut = with_chunks(changes.withColumn(text, live), text, size, overlap)
+    hashed = changes.withColumn(CHANGE_HASH, content_hash(changes))
+    cut = with_chunks(hashed.withColumn(text, live), text, size, overlap)
     rows = cut.select(*kept, F.posexplode_outer("chunks").alias("chunk_no", text))
     named = rows.withColumn(
         "chunk_id",
@@ -76,12 +81,19 @@ def current_index(
 ) -> DataFrame:
     """The index a log stands for: the chunks of each key's last version, deletes left out.
 
-    Versions are reduced per task before their shuffle. The join back is an
-    equi-join that Spark may split when one key holds much of the log.
+    Two different changes under one version are settled by content hash, and a
+    change delivered twice counts once. Versions are reduced per task before
+    their shuffle. The join back is an equi-join that Spark may split when one
+    key holds much of the log.
     """
-    last = log.groupBy(key).agg(F.max(version).alias(version))
+    last = (
+        log.groupBy(key)
+        .agg(F.max(F.struct(version, CHANGE_HASH)).alias("_last"))
+        .select(key, f"_last.{version}", f"_last.{CHANGE_HASH}")
+    )
     alive = log.filter((F.col(op_col) != "delete") & F.col("chunk_id").isNotNull())
-    return alive.join(last, [key, version]).drop(op_col)
+    same = [key, version, CHANGE_HASH]
+    return alive.join(last, same).dropDuplicates([*same, "chunk_id"]).drop(op_col, CHANGE_HASH)
 
 
 def build_incremental(

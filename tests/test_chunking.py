@@ -1,0 +1,101 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from askloom.operators.chunking import (
+    chunk_documents,
+    chunk_udf,
+    explode_chunks,
+    with_chunks,
+    with_metadata,
+)
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def cut(df, **options):
+    rows = chunk_documents(df, **options).orderBy("doc_id", "chunk_no").collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, []).append(r.text)
+        assert r.chunk_id == f"{r.doc_id}-{r.chunk_no}"
+    for r in rows:
+        assert r.num_chunks == len(out[r.doc_id])
+    return out
+
+
+def windows(tokens, size, overlap):
+    return [" ".join(tokens[i : i + size]) for i in range(0, len(tokens), size - overlap)]
+
+
+def test_edge_texts(spark):
+    texts = [None, "", " \t\n ", "one", "a b c d", "a b c d e", "  a b\n"]
+    got = cut(docs(spark, *texts), size=4, overlap=1)
+    assert got == {3: ["one"], 4: ["a b c d", "d"], 5: ["a b c d", "d e"], 6: ["a b"]}
+
+
+def test_contained_tail_can_be_dropped(spark):
+    texts = ["a b c d", "a", "a b c d e", "a b c d e f g"]
+    got = cut(docs(spark, *texts), size=4, overlap=1, drop_contained_tail=True)
+    assert got == {0: ["a b c d"], 1: ["a"], 2: ["a b c d", "d e"], 3: ["a b c d", "d e f g"]}
+
+
+def test_spacing_is_kept(spark):
+    text = "  a\tb\n\nc  d e"
+    got = cut(docs(spark, text), size=2, overlap=0, keep_spacing=True)
+    assert got[0] == ["  a\tb", "\n\nc  d", " e"] and "".join(got[0]) == text
+
+
+@pytest.mark.parametrize("size, overlap", [(3, 3), (3, 4), (0, 0), (3, -1)])
+def test_overlap_must_be_smaller(spark, size, overlap):
+    with pytest.raises(ValueError):
+        chunk_documents(docs(spark, "a"), size=size, overlap=overlap)
+    with pytest.raises(ValueError):
+        chunk_udf(str.split, " ".join, size, overlap)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.lists(st.sampled_from(["x", "yy", "zü"]), max_size=30), min_size=1, max_size=5),
+    st.integers(1, 7),
+    st.integers(0, 6),
+)
+def test_matches_the_loop_rule_and_rebuilds_tokens(spark, texts, size, overlap):
+    overlap = min(overlap, size - 1)
+    got = cut(docs(spark, *[" ".join(t) for t in texts]), size=size, overlap=overlap)
+    for i, tokens in enumerate(texts):
+        assert got.get(i, []) == windows(tokens, size, overlap)
+        step = size - overlap
+        rebuilt = [w for chunk in got.get(i, []) for w in chunk.split()[:step]]
+        assert rebuilt[: len(tokens)] == tokens
+
+
+def test_udf_agrees_with_native(spark):
+    df = docs(spark, "a b c d e f g h", None, "", "a  b")
+    call = chunk_udf(str.split, " ".join, 3, 1)
+    made = explode_chunks(df.withColumn("chunks", call("text")))
+    native = chunk_documents(df, size=3, overlap=1)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, native.collect()))
+
+
+def test_text_is_split_once(spark):
+    plan = chunk_documents(docs(spark, "a b"), size=4, overlap=1)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.count("split(") == 1
+
+
+def test_metadata_holds_all_but_text_and_count(spark):
+    made = chunk_documents(docs(spark, "a b").withColumn("lang", F.lit("en")), size=4, overlap=1)
+    row = with_metadata(made).first()
+    assert row.page_content == "a b"
+    assert row.metadata == {"doc_id": "0", "lang": "en", "chunk_no": "0", "chunk_id": "0-0"}
+    assert with_metadata(docs(spark, "a").select("text")).first().metadata == {}
+
+
+def test_chunk_array_keeps_other_columns(spark):
+    made = with_chunks(docs(spark, "a b c"), size=2, overlap=0)
+    assert made.columns == ["doc_id", "text", "chunks"]
+    assert made.first().chunks == ["a b", "c"]
