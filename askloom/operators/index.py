@@ -32,7 +32,12 @@ def latest_per_key(df: DataFrame, key: str, version: str, *then: str) -> DataFra
 def merge_index(
     a: DataFrame, b: DataFrame, key: str = "chunk_id", version: str = "version"
 ) -> DataFrame:
-    """Union with one row per key: the newest version, on equal versions the row of ``b``."""
+    """Union with one row per key: the newest version, on equal versions the row of ``b``.
+
+    Regroups both sides, so it also cleans up repeated keys inside one of them.
+    To fold a small delta into a large keyed index, ``apply_changes`` leaves the
+    index where it is.
+    """
     both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
     return latest_per_key(both, key, version, "_side").drop("_side")
 

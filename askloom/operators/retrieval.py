@@ -17,6 +17,7 @@ from askloom.session import materialize
 BLOCK_ROWS = 16_384
 QUESTION_TILE = 256
 BROADCAST_BYTES = 64 * 1024 * 1024
+HIT_BYTES = 128  # generous size of one result row: two keys, a distance, a rank
 
 
 def topk(
@@ -182,7 +183,8 @@ def nearest(
     vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, bool]:
-    """Exact k nearest ``(question_key, index_key, distance, rank)`` and whether the result is small.
+    """Exact k nearest ``(question_key, index_key, distance, rank)``, and whether that result
+    is known to stay below ``broadcast_bytes``.
 
     Nothing is paired up row by row: each task compares matrices block by block
     and emits at most k rows per question and block, which a grouped top-k merges.
@@ -219,7 +221,7 @@ def nearest(
     else:
         pairs = _search_by_grid(asked, found, schema, k, metric, vector, most)
     merged = topk(pairs, k, question_key, ("distance", index_key))
-    return merged, taken.num_rows <= most
+    return merged, taken.num_rows <= most and taken.num_rows * k * HIT_BYTES <= broadcast_bytes
 
 
 def _search_by_broadcast(
@@ -329,8 +331,9 @@ def knn(
     if not payload:
         return hits
     lookup = _filtered(index, where).select(index_key, *payload)
-    # k rows for each question the size check let through: a proven bound.
-    return lookup.join(F.broadcast(hits) if small else hits, index_key)
+    if small:  # k rows for each question the size check let through: a proven bound
+        return lookup.join(F.broadcast(hits), index_key)
+    return lookup.join(materialize(hits, "hits"), index_key)
 
 
 def retrieve(

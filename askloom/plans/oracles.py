@@ -42,15 +42,6 @@ def _chunks(docs: str = "documents", size: int = SIZE, step: int = STEP, cols: s
     )"""
 
 
-def _vector(text: str) -> str:
-    """Unit-length hashed word counts, as FLOAT values widened to DOUBLE."""
-    buckets = f"list_transform({_words(text)}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM})"
-    counts = (
-        f"list_transform(range(0, {DIM}), lambda d: len(list_filter({buckets}, lambda b: b = d))::DOUBLE)"
-    )
-    return counts
-
-
 def _embedded(name: str, source: str, cols: str, text: str) -> str:
     return f"""{name}_b AS (
       SELECT {cols}, list_transform({_words(text)},
@@ -249,7 +240,7 @@ def oracles() -> dict[str, str]:
         + "SELECT question_id, rank, vec_id::VARCHAR AS page_content FROM hits",
         "source_or_unknown": f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source
             WHEN 1 THEN {_quote(UNKNOWN_SOURCE)} END AS source_label FROM documents""",
-        "answer_present_filter": f"""WITH {_MADE_ANSWERS} SELECT question_id, answer FROM made
+        "answer_present": f"""WITH {_MADE_ANSWERS} SELECT question_id, answer FROM made
             WHERE rank = 1 AND answer IS NOT NULL""",
         "good_answer_filter": f"WITH {_MADE_ANSWERS} SELECT question_id, rank, answer FROM made WHERE {_GOOD}",
         "reject_empty_question": f"""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0
@@ -312,24 +303,24 @@ def oracles() -> dict[str, str]:
         "num_chunks": f"""SELECT doc_id, len(range(0, len({_tokens('text')}), {STEP}))::INTEGER AS num_chunks
             FROM documents""",
         "explode_chunks": chunk_rows + "SELECT doc_id, chunk_id, text FROM chunks",
-        "text_length_chars": "SELECT doc_id, length(text)::INTEGER AS chars, n_chars FROM documents",
+        "text_length": "SELECT doc_id, length(text)::INTEGER AS chars, n_chars FROM documents",
         "embed_text": f"""WITH w AS (SELECT doc_id, unnest({_words('text')}) AS word FROM documents
             ), c AS (
               SELECT doc_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % {DIM})::INTEGER AS bucket,
                      count(*)::DOUBLE AS n FROM w GROUP BY ALL)
             SELECT doc_id, bucket, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5)
               AS weight FROM c""",
-        "vector_distances": f"""WITH {_VECS} SELECT q.vec_id, round({l2_self}, 6) AS l2sq,
+        "vector_distance": f"""WITH {_VECS} SELECT q.vec_id, round({l2_self}, 6) AS l2sq,
             round({_COSINE_SELF}, 6) AS cosine, round(-{_dot('q.v', 'i.v')}, 6) AS ip
             FROM vecs q JOIN vecs i ON i.vec_id = q.vec_id + 1""",
-        "build_prompts": f"""WITH chat AS (
+        "build_prompt": f"""WITH chat AS (
               SELECT q.conv_id, q.turn, q.text AS question, c.text AS context
               FROM conversations q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn = q.turn + 1)
             SELECT conv_id, turn, 0::INTEGER AS place, 'system' AS role, {_quote(SYSTEM_MESSAGE)} AS content FROM chat
             UNION ALL
             SELECT conv_id, turn, 1::INTEGER, 'human',
                    'Given the context: ' || context || '. Answer the question ' || question || '.' FROM chat""",
-        "expand_abbreviation_terms": "SELECT conv_id, turn, "
+        "expand_abbreviations": "SELECT conv_id, turn, "
         + _abbreviated(
             "((CASE WHEN turn % 2 = 1 THEN 'An udf for ML? ' ELSE 'HTML and ml: ' END) || text)"
         )

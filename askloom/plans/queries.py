@@ -30,7 +30,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    QUERIES[run.__name__.removesuffix("_query")] = run
     return run
 
 
@@ -205,7 +205,7 @@ def source_or_unknown(spark, sf_dir):
 
 
 @query
-def answer_present_filter(spark, sf_dir):
+def answer_present_query(spark, sf_dir):
     made = fx.made_answers(spark, sf_dir)
     return made.filter((F.col("rank") == 1) & answer_present("answer")).select("question_id", "answer")
 
@@ -440,7 +440,7 @@ def explode_chunks(spark, sf_dir):
 
 
 @query
-def text_length_chars(spark, sf_dir):
+def text_length_query(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select(
         "doc_id", text_length("text").alias("chars"), "n_chars"
     )
@@ -459,7 +459,7 @@ def embed_text(spark, sf_dir):
 
 
 @query
-def vector_distances(spark, sf_dir):
+def vector_distance_query(spark, sf_dir):
     vectors = fx.table(spark, sf_dir, "embeddings")
     ahead = vectors.select(
         (F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")
@@ -474,7 +474,7 @@ def vector_distances(spark, sf_dir):
 
 
 @query
-def build_prompts(spark, sf_dir):
+def build_prompt_query(spark, sf_dir):
     turns = fx.table(spark, sf_dir, "conversations")
     replies = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
     asked = turns.select("conv_id", "turn", F.col("text").alias("question"))
@@ -485,7 +485,7 @@ def build_prompts(spark, sf_dir):
 
 
 @query
-def expand_abbreviation_terms(spark, sf_dir):
+def expand_abbreviations_query(spark, sf_dir):
     odd = F.col("turn") % 2 == 1
     question = F.concat(F.when(odd, F.lit("An udf for ML? ")).otherwise(F.lit("HTML and ml: ")), "text")
     return fx.table(spark, sf_dir, "conversations").select(

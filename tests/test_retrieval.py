@@ -73,7 +73,7 @@ def test_both_ways_equal_brute_force(spark, metric, broadcast_bytes, monkeypatch
     asked, index = rng.normal(size=(23, 5)), rng.normal(size=(211, 5))
     q, i = table(spark, asked, "question_id"), table(spark, index, "chunk_id").repartition(5)
     hits, small = nearest(q, i, 4, metric, broadcast_bytes=broadcast_bytes)
-    assert small == (broadcast_bytes > 1000)
+    assert small == (broadcast_bytes > 100_000)
     assert found(hits) == brute(asked, index, 4, metric)
 
 
