@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from askloom.functions.text import _col, sentences, strip, words
+from askloom.functions.text import _col, once, sentences, strip, words
 
 # A lower-cased answer holding one of these is a non-answer.
 NON_ANSWER_PHRASES = (
@@ -68,17 +68,27 @@ def overlap_answer(context: Column | str, question: Column | str, least: int = 2
     Ties go to the earlier sentence; with fewer than ``least`` shared words the
     answer is ``I don't know``. Null if either side is null.
     """
-    asked = F.array_distinct(words(question))
-    scored = F.transform(
-        sentences(context),
-        lambda s, i: F.struct(
-            F.size(F.array_intersect(words(s), asked)).alias("shared"),
-            (-i).alias("place"),
-            s.alias("sentence"),
+
+    def best_sentence(asked: Column) -> Column:
+        scored = F.transform(
+            sentences(context),
+            lambda s, i: F.struct(
+                F.size(F.array_intersect(words(s), asked)).alias("shared"),
+                (-i).alias("place"),
+                s.alias("sentence"),
+            ),
+        )
+        return F.array_max(scored)
+
+    said = once(
+        F.array_distinct(words(question)),
+        lambda asked: once(
+            best_sentence(asked),
+            lambda best: F.when(best["shared"] >= least, best["sentence"]).otherwise(
+                F.lit(DONT_KNOW)
+            ),
         ),
     )
-    best = F.array_max(scored)
-    said = F.when(best["shared"] >= least, best["sentence"]).otherwise(F.lit(DONT_KNOW))
     return F.when(_col(context).isNotNull() & _col(question).isNotNull(), said)
 
 

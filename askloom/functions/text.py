@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time.
+
+    Spark does not share common expressions that hold lambdas; a one-element
+    array binds the value to a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
     """Whitespace-separated tokens; null stays null, blank text has none."""
     return F.filter(F.split(_col(text), WHITESPACE), lambda t: t != "")

@@ -48,7 +48,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 when either vector is all zeros."""
     a, b = _col(a), _col(b)
     norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return _same_length(a, b).otherwise(F.when(norms == 0, F.lit(0.0)).otherwise(_dot(a, b) / norms))
+    ratio = F.coalesce(F.try_divide(_dot(a, b), norms), F.lit(0.0))
+    return _same_length(a, b).when(a.isNotNull() & b.isNotNull(), ratio)
 
 
 def vector_distance(a: Column | str, b: Column | str, metric: str = "l2sq") -> Column:

@@ -138,14 +138,14 @@ def first_good_answer(
 ) -> DataFrame:
     """The good answer of smallest rank per question; questions without one give no row.
 
-    Aggregated, so each task sends on at most one row per question.
+    Aggregated, so each task sends on at most one row per question. Bad answers
+    lose their rank, which ``min_by`` skips: a filter would be pushed into the
+    generator's expression and repeat it for every phrase.
     """
-    best = (
-        scored.filter(is_good_answer("answer"))
-        .groupBy(key)
-        .agg(F.min_by(F.struct(*fields), F.col(rank)).alias("_best"))
-    )
-    return best.select(key, *[F.col(f"_best.{f}").alias(f) for f in fields])
+    good_rank = F.when(is_good_answer("answer"), F.col(rank))
+    best = scored.groupBy(key).agg(F.min_by(F.struct(*fields), good_rank).alias("_best"))
+    found = best.filter(F.col("_best").isNotNull())
+    return found.select(key, *[F.col(f"_best.{f}").alias(f) for f in fields])
 
 
 def best_answers(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askloom.session import materialize
+
 
 def append_index(a: DataFrame, b: DataFrame) -> DataFrame:
     """Append one index to another; nothing is deduplicated, so a rerun doubles the rows."""
@@ -53,18 +55,16 @@ def apply_changes(
 
     ``changes`` has the index columns plus ``op`` (``delete`` removes, anything
     else inserts or replaces). Changes older than what the index holds are
-    ignored. Index rows are never regrouped: they only meet the reduced changes
-    in a join, which Spark broadcasts when they are small.
+    ignored. The changes are reduced to one per key and stored, so that Spark
+    knows their size when it plans: next to a small set the index is not
+    shuffled at all, next to a large one both sides meet by key.
     """
-    last = latest_per_key(changes, key, version)
+    last = materialize(latest_per_key(changes, key, version), "changes")
     marks = last.select(key, F.col(version).alias("_changed"))
     held = index.join(marks, key, "left")
     untouched = held.filter(F.col("_changed").isNull() | (F.col("_changed") < F.col(version)))
     newer = (
-        index.join(marks.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"))
-        .filter(F.col("_changed") < F.col(version))
-        .select(F.col(key))
-        .distinct()
+        index.select(key, version).join(marks, key).filter(F.col("_changed") < F.col(version))
     )
     arriving = last.filter(F.col(op_col) != "delete").join(newer, key, "left_anti")
     return untouched.select(*index.columns).unionByName(arriving.select(*index.columns))

@@ -34,18 +34,14 @@ def head(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], out: str = "row_no") -> DataFrame:
-    """Number all rows 1.. in key order without passing them through one task.
-
-    A range sort gives each partition a run of the order; the position inside the
-    run comes from ``monotonically_increasing_id`` (partition number above bit
-    33, position below). The sorted rows are written once, so that partition
-    bounds cannot differ between the two uses, and a table with one row per
-    partition supplies the start of each run.
-    """
-    placed = materialize(
+def _placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows in key order, stored with their place: partition above bit 33, position below."""
+    return materialize(
         df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered"
     )
+
+
+def _numbered(placed: DataFrame, out: str) -> DataFrame:
     run, position = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(run.alias("_run")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,10 +50,23 @@ def number_rows(df: DataFrame, keys: Sequence[str], out: str = "row_no") -> Data
         # starts has one row per partition of the sort: a proven bound
         placed.withColumn("_run", run)
         .join(F.broadcast(starts), "_run")
-        .select(*df.columns, (F.col("_start") + position + 1).alias(out))
+        .withColumn(out, F.col("_start") + position + 1)
+        .drop("_at", "_run", "_start")
     )
 
 
+def number_rows(df: DataFrame, keys: Sequence[str], out: str = "row_no") -> DataFrame:
+    """Number all rows 1.. in key order without passing them through one task.
+
+    A range sort gives each partition a run of the order; the position inside the
+    run comes from ``monotonically_increasing_id``. The sorted rows are written
+    once, so that partition bounds cannot differ between the two uses, and a
+    table with one row per partition supplies the start of each run. The sort
+    samples its input first: pass a stored table, not a long computation.
+    """
+    return _numbered(_placed(df, keys), out)
+
+
 def batches(
     df: DataFrame,
     size: int = BATCH_ROWS,
@@ -68,13 +77,9 @@ def batches(
 
     ``full_only`` drops a last short batch, as a loop over ``count // size`` would.
     """
-    numbered = number_rows(df, keys)
-    batch = F.floor((F.col("row_no") - 1) / size).cast("long")
-    if full_only:
-        total = numbered.agg(F.count("*").alias("_total"))
-        full = total.select(F.floor(F.col("_total") / size).cast("long").alias("_full"))
-        numbered = numbered.join(F.broadcast(full), batch < F.col("_full")).drop("_full")
-    return numbered.withColumn("batch_no", batch)
+    placed = _placed(df, keys)
+    numbered = _numbered(placed, "row_no").withColumn("batch_no", F.expr(f"(row_no - 1) div {size}"))
+    return numbered.filter(F.col("batch_no") < placed.count() // size) if full_only else numbered
 
 
 def _day_start(df: DataFrame, ts: str, day: dt.date) -> Column:

@@ -65,8 +65,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused path below the shared folder.
+
+    Everything one application stores lies in one subfolder named after it,
+    which may be removed once the application has ended.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

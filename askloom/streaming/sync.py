@@ -83,11 +83,12 @@ def current_index(
 
     Two different changes under one version are settled by content hash, and a
     change delivered twice counts once. Versions are reduced per task before
-    their shuffle. The join back is an equi-join that Spark may split when one
-    key holds much of the log.
+    their shuffle, one row per change. The join back is an equi-join that Spark
+    may split when one key holds much of the log.
     """
     last = (
-        log.groupBy(key)
+        log.filter(F.coalesce(F.col("chunk_no"), F.lit(0)) == 0)
+        .groupBy(key)
         .agg(F.max(F.struct(version, CHANGE_HASH)).alias("_last"))
         .select(key, f"_last.{version}", f"_last.{CHANGE_HASH}")
     )

@@ -16,7 +16,6 @@ def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     return local_session(
         4,
-        spark__checkpoint__dir=str(base / "shared"),
         spark__sql__warehouse__dir=str(base / "warehouse"),
         spark__sql__shuffle__partitions="4",
     )
