@@ -192,8 +192,8 @@ def nearest(
 
     * question vectors up to ``broadcast_bytes`` (read with a limit one row above
       the bound) go to every task and the index is scanned once, unshuffled;
-    * more questions: both sides are cut into hashed groups and every
-      (question group, index group) pair becomes one cogroup of bounded size.
+    * more questions: both sides are cut into hashed groups of bounded size and
+      every (question group, index group) pair becomes one cogroup.
 
     Rows without a vector can be nobody's neighbour and are left out. ``where``
     filters the index before ranking.
@@ -219,7 +219,7 @@ def nearest(
     if taken.num_rows <= most:
         pairs = _search_by_broadcast(taken, found, schema, k, metric, vector)
     else:
-        pairs = _search_by_grid(asked, found, schema, k, metric, vector, most)
+        pairs = _search_by_grid(asked, found, schema, k, metric, vector, most, 2 * most)
     merged = topk(pairs, k, question_key, ("distance", index_key))
     return merged, taken.num_rows <= most and taken.num_rows * k * HIT_BYTES <= broadcast_bytes
 
@@ -257,11 +257,12 @@ def _search_by_grid(
     metric: str,
     vector: str,
     question_group: int,
+    index_group: int,
 ) -> DataFrame:
     question_key, index_key = schema[0].name, schema[1].name
     arrow_schema = _arrow_schema(schema)
     n_q = -(-asked.count() // question_group)
-    n_i = max(1, -(-found.count() // BLOCK_ROWS))
+    n_i = max(1, -(-found.count() // index_group))
 
     def group_of(key: str, n: int) -> Column:
         return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
@@ -275,15 +276,19 @@ def _search_by_grid(
     def search(asked_rows: pa.Table, index_rows: pa.Table) -> pa.Table:
         if not asked_rows.num_rows or not index_rows.num_rows:
             return arrow_schema.empty_table()
-        hits = _search_block(
-            _ids(asked_rows[question_key]),
-            _matrix(asked_rows[vector]),
-            _ids(index_rows[index_key]),
-            _matrix(index_rows[vector]),
-            k,
-            metric,
-            arrow_schema,
-        )
+        asked_ids, asked_vectors = _ids(asked_rows[question_key]), _matrix(asked_rows[vector])
+        hits: list[pa.RecordBatch] = []
+        for start in range(0, index_rows.num_rows, BLOCK_ROWS):
+            block = index_rows.slice(start, BLOCK_ROWS)
+            hits += _search_block(
+                asked_ids,
+                asked_vectors,
+                _ids(block[index_key]),
+                _matrix(block[vector]),
+                k,
+                metric,
+                arrow_schema,
+            )
         return pa.Table.from_batches(hits, schema=arrow_schema)
 
     return (

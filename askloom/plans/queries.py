@@ -27,6 +27,7 @@ from askloom.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+FILES = 16  # input files of the streams, read in two batches
 
 
 def query(run: Query) -> Query:
@@ -380,7 +381,7 @@ def index_sync_upsert(spark, sf_dir):
 def incremental_index_build(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir).select("chunk_id", "source", "text")
     chunk_dir, path = scratch_path(spark, "chunks"), scratch_path(spark, "index")
-    rows.repartition(4, "chunk_id").write.parquet(chunk_dir)
+    rows.repartition(FILES, "chunk_id").write.parquet(chunk_dir)
     sync.build_incremental(
         spark,
         chunk_dir,
@@ -388,7 +389,7 @@ def incremental_index_build(spark, sf_dir):
         path,
         scratch_path(spark, "stream"),
         embedder=hashed_embedding(fx.DIM),
-        max_files_per_trigger=2,
+        max_files_per_trigger=FILES // 2,
     ).awaitTermination()
     return index_store.load_index(spark, path).select(
         "chunk_id",
@@ -551,7 +552,7 @@ def stream_index_sync(spark, sf_dir):
     changes = fx.versioned_documents(spark, sf_dir).withColumn("op", F.lit("insert"))
     changes = changes.unionByName(fx.document_changes(spark, sf_dir))
     source, path = scratch_path(spark, "changes"), scratch_path(spark, "index")
-    changes.repartition(4, "doc_id", "version").write.parquet(source)
+    changes.repartition(FILES, "doc_id", "version").write.parquet(source)
     schema = T.StructType([f for f in spark.read.parquet(source).schema])
     sync.sync_stream(
         spark,
@@ -562,7 +563,7 @@ def stream_index_sync(spark, sf_dir):
         size=fx.SIZE,
         overlap=fx.OVERLAP,
         embedder=hashed_embedding(fx.DIM),
-        max_files_per_trigger=2,
+        max_files_per_trigger=FILES // 2,
     ).awaitTermination()
     state = sync.current_index(index_store.load_index(spark, path))
     return state.select("doc_id", "version", "chunk_id", "text")

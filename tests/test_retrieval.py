@@ -64,7 +64,7 @@ def test_equals_brute_force_with_many_ties(spark, asked, index, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 300])
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 1200])
 def test_both_ways_equal_brute_force(spark, metric, broadcast_bytes, monkeypatch):
     import askloom.operators.retrieval as retrieval
 
