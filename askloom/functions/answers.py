@@ -35,10 +35,15 @@ CORRECT, INCORRECT = "CORRECT", "INCORRECT"
 
 
 def is_good_answer(answer: Column | str, phrases: tuple[str, ...] = NON_ANSWER_PHRASES) -> Column:
-    """True unless the answer is null or contains a non-answer phrase; never null."""
-    lowered = F.lower(_col(answer))
-    hit = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in phrases])
-    return F.coalesce(~hit, F.lit(False))
+    """True unless the answer is null or contains a non-answer phrase; never null.
+
+    The answer is computed and lower-cased once, not once per phrase.
+    """
+
+    def clean(lowered: Column) -> Column:
+        return ~reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in phrases])
+
+    return F.coalesce(once(F.lower(_col(answer)), clean), F.lit(False))
 
 
 def answer_present(answer: Column | str) -> Column:
