@@ -190,13 +190,14 @@ def nearest(
     and emits at most k rows per question and block, which a grouped top-k merges.
     Two ways to bring the sides together, chosen by size:
 
-    * question vectors up to ``broadcast_bytes`` (read with a limit one row above
-      the bound) go to every task and the index is scanned once, unshuffled;
+    * question vectors counted to fit ``broadcast_bytes`` go to every task and the
+      index is scanned once, unshuffled;
     * more questions: both sides are cut into hashed groups of bounded size and
       every (question group, index group) pair becomes one cogroup.
 
-    Rows without a vector can be nobody's neighbour and are left out. ``where``
-    filters the index before ranking.
+    The questions are looked at more than once, so computed vectors should be stored
+    before (``retrieve`` does). Rows without a vector can be nobody's neighbour and
+    are left out. ``where`` filters the index before ranking.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -209,19 +210,17 @@ def nearest(
     schema = T.StructType(
         [asked.schema[question_key], found.schema[index_key], T.StructField("distance", T.DoubleType())]
     )
-    first = asked.limit(1).toArrow()
-    if not first.num_rows:
+    count, dim = asked.agg(F.count("*"), F.max(F.size(vector))).first()
+    if not count:
         empty = questions.sparkSession.createDataFrame([], schema)
         return topk(empty, k, question_key, ("distance", index_key)), True
-    row_bytes = 8 * (_matrix(first[vector]).shape[1] + 8)
-    most = max(1, broadcast_bytes // row_bytes)
-    taken = asked.limit(most + 1).toArrow()
-    if taken.num_rows <= most:
-        pairs = _search_by_broadcast(taken, found, schema, k, metric, vector)
+    most = max(1, broadcast_bytes // (8 * (dim + 8)))
+    if count <= most:
+        pairs = _search_by_broadcast(asked.toArrow(), found, schema, k, metric, vector)
     else:
-        pairs = _search_by_grid(asked, found, schema, k, metric, vector, most, 2 * most)
+        pairs = _search_by_grid(asked, count, found, schema, k, metric, vector, most)
     merged = topk(pairs, k, question_key, ("distance", index_key))
-    return merged, taken.num_rows <= most and taken.num_rows * k * HIT_BYTES <= broadcast_bytes
+    return merged, count <= most and count * k * HIT_BYTES <= broadcast_bytes
 
 
 def _search_by_broadcast(
@@ -251,18 +250,18 @@ def _search_by_broadcast(
 
 def _search_by_grid(
     asked: DataFrame,
+    n_asked: int,
     found: DataFrame,
     schema: T.StructType,
     k: int,
     metric: str,
     vector: str,
-    question_group: int,
-    index_group: int,
+    group_rows: int,
 ) -> DataFrame:
     question_key, index_key = schema[0].name, schema[1].name
     arrow_schema = _arrow_schema(schema)
-    n_q = -(-asked.count() // question_group)
-    n_i = max(1, -(-found.count() // index_group))
+    n_q = -(-n_asked // group_rows)
+    n_i = max(1, -(-found.count() // (2 * group_rows)))
 
     def group_of(key: str, n: int) -> Column:
         return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")

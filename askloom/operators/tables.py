@@ -13,6 +13,7 @@ from askloom.functions.text import script_statements
 from askloom.session import materialize
 
 BATCH_ROWS = 500
+PAGE_ROWS = 100_000
 
 
 def count_rows(df: DataFrame) -> DataFrame:
@@ -24,11 +25,6 @@ def longest(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",)
     return df.orderBy(F.length(text).desc_nulls_last(), *keys).limit(1)
 
 
-def page(df: DataFrame, limit: int, offset: int, keys: Sequence[str]) -> DataFrame:
-    """Limit first, then skip: rows ``offset + 1 .. limit`` of the key order."""
-    return df.orderBy(*keys).limit(limit).offset(offset)
-
-
 def head(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     """The first n rows of the key order."""
     return df.orderBy(*keys).limit(n)
@@ -67,6 +63,18 @@ def number_rows(df: DataFrame, keys: Sequence[str], out: str = "row_no") -> Data
     return _numbered(_placed(df, keys), out)
 
 
+def page(df: DataFrame, limit: int, offset: int, keys: Sequence[str]) -> DataFrame:
+    """Limit first, then skip: rows ``offset + 1 .. limit`` of the key order.
+
+    A limit merges its rows in one task, so beyond ``PAGE_ROWS`` the same rows are
+    taken by their number instead.
+    """
+    if limit <= PAGE_ROWS:
+        return df.orderBy(*keys).limit(limit).offset(offset)
+    numbered = number_rows(df, keys, "_row_no")
+    return numbered.filter(F.col("_row_no").between(offset + 1, limit)).drop("_row_no")
+
+
 def batches(
     df: DataFrame,
     size: int = BATCH_ROWS,

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.operators import tables
 from askloom.operators.index import append_index, apply_changes, latest_per_key, merge_index
 from askloom.operators.tables import (
     batches,
@@ -37,7 +38,9 @@ def test_numbering_with_two_keys(spark):
     assert [r.row_no for r in got] == list(range(1, 301))
 
 
-def test_pages_skip_after_the_limit(spark):
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_pages_skip_after_the_limit(spark, monkeypatch, most):
+    monkeypatch.setattr(tables, "PAGE_ROWS", most)
     df = spark.range(100).repartition(5)
     assert sorted(r.id for r in page(df, 90, 85, ("id",)).collect()) == [85, 86, 87, 88, 89]
     assert page(df, 5, 10, ("id",)).collect() == []
