@@ -1,9 +1,11 @@
 """Dense vector columns: distances, and the built-in hashed term-count embedding."""
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,32 +65,40 @@ def vector_distance(a: Column | str, b: Column | str, metric: str = "l2sq") -> C
     raise ValueError(f"metric must be one of {METRICS}")
 
 
-def term_buckets(text: Column | str, dim: int) -> Column:
-    """Bucket of every word: the first 32 bits of its md5, modulo ``dim``."""
-    return F.transform(
-        words(text),
-        lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"),
-    )
+def word_bucket(word: str, dim: int) -> int:
+    """The first 32 bits of a word's md5, modulo ``dim``."""
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim
+
 
+def _unit_counts(joined: pa.Array, dim: int, words_per_step: int = 4_000_000) -> pa.Array:
+    """Unit-length word-count vectors of one Arrow batch of space-joined words.
 
-def _unit_counts(buckets: pa.Array, dim: int, tokens_per_step: int = 4_000_000) -> pa.Array:
-    """Unit-length count vectors of one Arrow batch, a bounded number of tokens at a time."""
-    lengths = np.asarray(buckets.value_lengths().fill_null(0), dtype=np.int64)
-    flat = np.asarray(buckets.flatten())
+    Each distinct word of the batch is hashed once. Counting goes through a bounded
+    number of words at a time.
+    """
+    lists = pc.split_pattern(joined, " ")
+    coded = lists.flatten().dictionary_encode()
+    # a text without words is one empty string, which belongs to no bucket
+    buckets = np.array(
+        [word_bucket(w, dim) if w else -1 for w in coded.dictionary.to_pylist()], dtype=np.int64
+    )
+    flat = buckets[np.asarray(coded.indices)]
+    lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
     ends = np.cumsum(lengths)
     vectors = np.zeros((len(lengths), dim), dtype=np.float32)
     row = 0
     while row < len(lengths):
         first = ends[row] - lengths[row]
-        stop = max(row + 1, int(np.searchsorted(ends, first + tokens_per_step, side="right")))
+        stop = max(row + 1, int(np.searchsorted(ends, first + words_per_step, side="right")))
         n = stop - row
         owner = np.repeat(np.arange(n), lengths[row:stop])
-        counts = np.bincount(owner * dim + flat[first : ends[stop - 1]], minlength=n * dim)
-        counts = counts.reshape(n, dim)
+        bucket = flat[first : ends[stop - 1]]
+        used = bucket >= 0
+        counts = np.bincount(owner[used] * dim + bucket[used], minlength=n * dim).reshape(n, dim)
         norm = np.sqrt((counts * counts).sum(axis=1))
         vectors[row:stop] = counts / np.where(norm == 0, 1, norm)[:, None]
         row = stop
-    return _as_lists(vectors, np.asarray(buckets.is_null()))
+    return _as_lists(vectors, np.asarray(joined.is_null()))
 
 
 def _as_lists(vectors: np.ndarray, missing: np.ndarray) -> pa.Array:
@@ -101,17 +111,17 @@ def _as_lists(vectors: np.ndarray, missing: np.ndarray) -> pa.Array:
 def hashed_embedding(dim: int = 64) -> Callable[[Column | str], Column]:
     """Default embedding: hashed word counts scaled to unit length, ``array<float>``.
 
-    Words and buckets are computed JVM-side; only the small bucket numbers go
-    through Arrow to be counted. Null text gives null, wordless text all zeros.
+    Words are cut JVM-side and go through Arrow as one string per row; hashing and
+    counting are vectorized per batch. Null text gives null, wordless text all zeros.
     Like a model it is marked non-deterministic: a filter on the vector would
     otherwise be pushed below the embedding step and compute it a second time.
     """
 
-    def count_buckets(buckets: pa.Array) -> pa.Array:
-        return _unit_counts(buckets, dim)
+    def count_words(joined: pa.Array) -> pa.Array:
+        return _unit_counts(joined, dim)
 
-    call = F.arrow_udf(count_buckets, T.ArrayType(T.FloatType())).asNondeterministic()
-    return lambda text: call(term_buckets(text, dim))
+    call = F.arrow_udf(count_words, T.ArrayType(T.FloatType())).asNondeterministic()
+    return lambda text: call(F.array_join(words(text), " "))
 
 
 def model_embedding(

@@ -191,3 +191,15 @@ def test_response_documents(spark):
         (1, 1, "first", {"url": "u1"}, 0.9),
         (1, 2, "second", {"url": None}, 0.4),
     ]
+
+
+def test_word_counts_do_not_depend_on_the_step():
+    import pyarrow as pa
+
+    from askloom.functions.vectors import _unit_counts, word_bucket
+
+    texts = pa.array(["a b a", None, "", "c " * 40 + "d", "b"])
+    whole, stepped = _unit_counts(texts, 8), _unit_counts(texts, 8, words_per_step=2)
+    assert whole.to_pylist() == stepped.to_pylist()
+    assert whole[1].as_py() is None and whole[2].as_py() == [0.0] * 8
+    assert whole[4].as_py()[word_bucket("b", 8)] == 1.0
