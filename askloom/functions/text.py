@@ -40,7 +40,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Whitespace-separated tokens; null stays null, blank text has none."""
-    return F.filter(F.split(_col(text), WHITESPACE), lambda t: t != "")
+    return F.array_remove(F.split(_col(text), WHITESPACE), "")
 
 
 def spaced_tokens(text: Column | str) -> Column:
@@ -50,7 +50,7 @@ def spaced_tokens(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(_col(text)), NON_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), NON_WORD), "")
 
 
 def sentences(text: Column | str) -> Column:
