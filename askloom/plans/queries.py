@@ -17,10 +17,10 @@ from askloom.functions.text import (
     text_length,
     validate_question,
 )
-from askloom.functions.vectors import hashed_embedding, inner_product, l2sq, vector_distance
+from askloom.functions.vectors import hashed_embedding, inner_product, vector_distance
 from askloom.operators import answering, chunking, embedding, evaluation, index, retrieval, tables
 from askloom.plans import fixtures as fx
-from askloom.session import materialize, scratch_path
+from askloom.session import scratch_path
 from askloom.sources import documents as docs
 from askloom.sources import index_store
 from askloom.streaming import sync
@@ -120,7 +120,13 @@ def select_source_fields(spark, sf_dir):
 @query
 def chunk_reshape(spark, sf_dir):
     return fx.chunks(spark, sf_dir).select(
-        "doc_id", "lang", "source", "num_chunks", "chunk_no", "chunk_id", text_length("text").alias("chars")
+        "doc_id",
+        "lang",
+        "source",
+        "num_chunks",
+        "chunk_no",
+        "chunk_id",
+        text_length("text").alias("chars"),
     )
 
 
@@ -177,9 +183,15 @@ def response_documents(spark, sf_dir):
             F.struct(F.array(cells).alias("data_array")).alias("result"),
         )
     )
-    made = retrieval.documents_from_responses(vectors.select("vec_id", body.alias("body")), "body", ("vec_id",))
+    responses = vectors.select("vec_id", body.alias("body"))
+    made = retrieval.documents_from_responses(responses, "body", ("vec_id",))
     return made.select(
-        "vec_id", "rank", "page_content", F.col("metadata")["label"].alias("label"), F.size("metadata").alias("n_metadata"), "score"
+        "vec_id",
+        "rank",
+        "page_content",
+        F.col("metadata")["label"].alias("label"),
+        F.size("metadata").alias("n_metadata"),
+        "score",
     )
 
 

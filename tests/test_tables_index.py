@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from askloom.operators import tables
 from askloom.operators.index import append_index, apply_changes, latest_per_key, merge_index
+from askloom.operators.retrieval import knn
 from askloom.operators.tables import (
     batches,
     count_rows,
@@ -127,7 +128,8 @@ def test_changes(spark):
 
 def test_index_store(spark, tmp_path):
     path = str(tmp_path / "index")
-    df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, None, "b")], "chunk_id int, embedding array<float>, kind string")
+    schema = "chunk_id int, embedding array<float>, kind string"
+    df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, None, "b")], schema)
     index_store.save_index(df, path, partition_by="kind")
     with pytest.raises(Exception, match="already exists"):
         index_store.save_index(df, path)
@@ -137,6 +139,19 @@ def test_index_store(spark, tmp_path):
     assert index_store.index_size(df).first().n_rows == 2
 
 
+def test_filtered_search_reads_only_its_folders(spark, tmp_path):
+    path = str(tmp_path / "index")
+    schema = "chunk_id long, embedding array<float>, kind string"
+    rows = [(i, [float(i), 1.0], "ab"[i % 2]) for i in range(20)]
+    index_store.save_index(spark.createDataFrame(rows, schema), path, partition_by="kind")
+    asked = spark.createDataFrame([(0, [6.2, 1.0])], "question_id long, embedding array<float>")
+    hits = knn(asked, index_store.load_index(spark, path), 2, where={"kind": "b"}, payload=())
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan
+    assert "ReadSchema: struct<chunk_id:bigint,embedding:array<float>>" in plan
+    assert [r.chunk_id for r in hits.orderBy("rank").collect()] == [7, 5]
+
+
 def test_json_documents_keep_unreadable_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n  "text": "x",\n  "source": "u"\n}\n')
     (tmp_path / "b.json").write_text("{ broken")
