@@ -1,0 +1,3 @@
+"""DuckDB SQL for the registered queries of this subpackage, where SQL can express them."""
+
+ORACLES: dict[str, str] = {}
