@@ -1,3 +1,50 @@
 """DuckDB SQL for the registered queries of this subpackage, where SQL can express them."""
 
+from askloom.llm.line_dedup import MIN_PAGES, RATIO
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op7_line_dedup"] = rf"""
+WITH texts AS (
+  SELECT page_id, html,
+    lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '')) AS host,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
+      '(?i)</?(?:html|head|body|title|nav|ul|ol|li|div|article|section|header|footer|h[1-6]|p|br|table|tr|td|th|pre|blockquote)(?:\s[^>]*)?/?>',
+      chr(10), 'g'), '<[^>]*>', '', 'g') AS text
+  FROM pages
+), lined AS (
+  SELECT page_id, host, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+  FROM texts
+), each AS (
+  SELECT row_id, page_id, host, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS place
+  FROM (SELECT row_number() OVER () AS row_id, * FROM lined)
+), site AS (
+  SELECT host, count(DISTINCT lines) AS pages FROM lined WHERE host <> '' GROUP BY host
+), common AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT lines) AS n FROM each WHERE host <> '' GROUP BY host, line)
+  JOIN site USING (host) WHERE n >= {MIN_PAGES} AND n > {RATIO}::DOUBLE * pages
+), kept AS (
+  SELECT row_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY place) AS kept_text
+  FROM each ANTI JOIN common USING (host, line) GROUP BY row_id
+)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n_kept, 0))::BIGINT AS n_dropped,
+  coalesce(kept_text, '') AS kept_text
+FROM (SELECT row_number() OVER () AS row_id, * FROM lined) LEFT JOIN kept USING (row_id)
+"""
+
+ORACLES["op10_exact_topk"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import simhash_dedup, substring_dedup
+from askloom.llm import line_dedup, sharding, simhash_dedup, substring_dedup, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = substring_dedup.remove_repeated_spans(docs, spans=False)
+    cut = substring_dedup.remove_repeated_spans(docs)
     return cut.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
@@ -33,3 +33,38 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_dedup.near_duplicates(docs, shingle=3, radius=2)
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.shard_by_bytes(docs, shards=16)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    lines = line_dedup.page_lines("html")
+    kept = line_dedup.drop_boilerplate(pages, line_dedup.host_of("url"), lines)
+    return kept.select(
+        "page_id",
+        line_dedup.host_of("url").alias("host"),
+        (F.size("kept_lines") + F.col("n_dropped")).cast("long").alias("n_lines"),
+        "n_dropped",
+        F.concat_ws("\n", "kept_lines").alias("kept_text"),
+    )
+
+
+@query
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_search.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
