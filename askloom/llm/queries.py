@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import (
+    class_lm,
     line_dedup,
     outliers,
     packing,
@@ -102,6 +103,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, ranks, model, size=1024, ids=False)
 
 
+@query
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return class_lm.score_texts(docs, ~quality_model.held_out("doc_id", 7, 2))
+
+
 @query
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
