@@ -45,20 +45,22 @@ def _shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(flat[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
 
 
-def fingerprints(texts: list[str | None], size: int) -> np.ndarray:
-    """The SimHash of each text, unsigned; zero without words."""
-    lists = [_shingle_hashes((t or "").encode().lower(), size) for t in texts]
-    counts = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+def fingerprints(texts: list[str | None], size: int, words: int = 1) -> np.ndarray:
+    """The SimHash of each text, a row of ``words`` unsigned 64-bit numbers; zero without words.
+
+    The first number takes its bits from the shingles' XXH64, each further one from a scramble of it.
+    """
+    out = np.zeros((len(texts), words), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for i, hashes in enumerate(lists):
-        if not hashes:
-            continue
-        set_bits = np.zeros(64, np.int64)
-        values = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-        for at in range(0, len(values), 1 << 16):
-            set_bits += np.unpackbits(values[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int32)
-        out[i] = weights[2 * set_bits > counts[i]].sum(dtype=np.uint64)
+    for i, text in enumerate(texts):
+        hashes = np.array(_shingle_hashes((text or "").encode().lower(), size), "<u8")
+        for k in range(words if len(hashes) else 0):
+            own = hashes if not k else W.mix(hashes ^ np.uint64(k))
+            set_bits = np.zeros(64, np.int64)
+            for at in range(0, len(own), 1 << 16):
+                values = own[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+                set_bits += np.unpackbits(values, axis=1, bitorder="little").sum(0, dtype=np.int32)
+            out[i, k] = weights[2 * set_bits > len(own)].sum(dtype=np.uint64)
     return out
 
 
@@ -71,7 +73,7 @@ def fingerprint_column(text, size: int):
     def run(texts: pa.Array) -> pa.Array:
         found = []
         for part in W.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
-            found.append(fingerprints(part.column(0).to_pylist(), size))
+            found.append(fingerprints(part.column(0).to_pylist(), size)[:, 0])
         return pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
 
     return F.arrow_udf(run, "long")(text)
@@ -95,11 +97,11 @@ def _bucket_keys(fingerprint, radius: int) -> list:
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
-    """64 rows of bits, one per bit of a fingerprint, packed into 64-bit words, one word to spare."""
+    """A row of bits per bit of a fingerprint, packed into 64-bit words, one word to spare."""
     lanes = -(-len(values) // 64) * 64 + 64
-    padded = np.zeros(lanes, "<u8")
+    padded = np.zeros((lanes, values.shape[1]), "<u8")
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
@@ -113,8 +115,7 @@ def _near(planes: np.ndarray, shift: int, wanted: np.ndarray, radius: int) -> np
     size = radius.bit_length()
     start = (1 << size) - 1 - radius
     counter = [np.full(len(at), _FULL if start >> j & 1 else 0, np.uint64) for j in range(size)]
-    for p in range(64):
-        plane = planes[p]
+    for p, plane in enumerate(planes):
         if bit:
             moved = plane[at + word] >> np.uint64(bit) | plane[at + word + 1] << np.uint64(64 - bit)
         else:
@@ -137,8 +138,10 @@ def _near(planes: np.ndarray, shift: int, wanted: np.ndarray, radius: int) -> np
 def links(bucket: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
     """Root of each fingerprint after linking those of the same bucket within the radius.
 
-    ``bucket`` is sorted. The result holds places; it is the least place of what was linked.
+    ``bucket`` is sorted, ``values`` has a row of 64-bit numbers per fingerprint. The result holds
+    places; it is the least place of what was linked.
     """
+    values = values.reshape(len(values), -1)
     n = len(values)
     root = np.arange(n)
     ends = np.searchsorted(bucket, bucket, "right")
@@ -177,8 +180,13 @@ def _forest(radius: int):
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
-        bucket, values, node = (table.column(c).to_numpy() for c in ("bucket", "fingerprint", "node"))
-        root = links(bucket, values.view(np.uint64), radius)
+        bucket, node = (table.column(c).to_numpy() for c in ("bucket", "node"))
+        values = table.column("fingerprint")
+        if pa.types.is_binary(values.type):
+            values = np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(bucket), -1)
+        else:
+            values = values.to_numpy().view(np.uint64)
+        root = links(bucket, values, radius)
         joined = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], ["u", "v"])
 
@@ -202,18 +210,15 @@ def _forest(radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
-    """Links (u, v) that join all nodes whose fingerprints, distinct by row, are within ``radius``.
+def near_links(nodes: DataFrame, keys, radius: int, cell: int = CELL) -> DataFrame:
+    """Links (u, v) that join all nodes of a bucket whose fingerprints are within ``radius``.
 
-    ``nodes`` has fingerprint and node, both long. A bucket of more than ``cell`` rows is cut into
-    groups, and each pair of groups is compared in a place of its own, so no task holds more than two.
+    ``nodes`` has a fingerprint, distinct by row, and node (long); ``keys`` is a column of an array
+    whose i-th value names the row's bucket of the i-th kind. A bucket of more than ``cell`` rows is cut
+    into groups, and each pair of groups is compared in a place of its own, so no task holds more than
+    two at once.
     """
-    keys = _bucket_keys("fingerprint", radius)
-    rows = nodes.select(
-        "fingerprint",
-        "node",
-        F.posexplode(F.array(*keys)).alias("choice", "agreed"),
-    )
+    rows = nodes.select("fingerprint", "node", F.posexplode(keys).alias("choice", "agreed"))
     whole = Window.partitionBy("choice", "agreed")
     groups = F.ceil(F.count("*").over(whole) / F.lit(cell)).cast("long")
     rows = rows.withColumn("size", F.count("*").over(whole)).withColumn("groups", groups).where("size > 1")
@@ -239,10 +244,62 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     )
     nodes = found.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
-    joined = components(near_links(nodes, radius))
+    joined = components(near_links(nodes, F.array(*_bucket_keys("fingerprint", radius)), radius))
     classes = nodes.join(joined, "node", "left").select(
         "fingerprint", F.coalesce("component", "node").alias("component_id")
     )
     return found.join(classes, "fingerprint", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+WIDE = 8  # 64-bit numbers of a wide fingerprint
+BANDS, BAND_BITS = 40, 16
+WIDE_RADIUS = 84  # of 512 bits: where texts of a Jaccard similarity of 0.8 lie, and some room
+
+
+def _bands() -> np.ndarray:
+    """The bits of each band: fixed random choices out of all bits of a wide fingerprint."""
+    random = np.random.default_rng(7)
+    return np.stack([np.sort(random.choice(64 * WIDE, BAND_BITS, replace=False)) for _ in range(BANDS)])
+
+
+def _wide_column(text, size: int):
+    """Struct of the wide fingerprint of ``text`` and the value of each of its bands."""
+    bands = _bands()
+
+    def run(texts: pa.Array) -> pa.Array:
+        prints, keys = [], []
+        for part in W.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            values = fingerprints(part.column(0).to_pylist(), size, WIDE)
+            prints += [row.tobytes() for row in values.astype("<u8")]
+            bits = np.unpackbits(values.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+            weights = 1 << np.arange(BAND_BITS)
+            keys.append((bits[:, bands].astype(np.int32) * weights).sum(2).astype(np.int32))
+        flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int32)
+        offsets = np.arange(0, BANDS * len(prints) + 1, BANDS, dtype=np.int32)
+        return pa.StructArray.from_arrays(
+            [pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            ["fingerprint", "bands"],
+        )
+
+    return F.arrow_udf(run, "struct<fingerprint: binary, bands: array<int>>")(text)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Rows (doc_id, component_id), one per distinct id of ``docs`` (doc_id, text): near-duplicate groups.
+
+    Fingerprints of 512 bits stand for sets of shingles of five words; they link within ``radius``,
+    which is where a Jaccard similarity of 0.8 lies. So wide a radius has no exact buckets: pairs must
+    agree in one of ``BANDS`` choices of bits, which nearly all pairs within the radius do. Null and
+    empty texts are alike. Rows without an id are left out; rows of one id are one document.
+    """
+    found = docs.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), _wide_column(F.col("text"), shingle).alias("wide")
+    )
+    found = materialize(found.select("doc_id", "wide.*"), "fingerprints")
+    nodes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
+    joined = components(near_links(nodes, F.col("bands"), radius))
+    classes = nodes.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    return found.join(classes, "fingerprint").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
