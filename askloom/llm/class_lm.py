@@ -203,9 +203,11 @@ def _transitions(after: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def exchange(after: np.ndarray, before: np.ndarray, classes: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+def exchange(after: np.ndarray, before: np.ndarray, classes: np.ndarray, barred: tuple[int, ...]) -> np.ndarray:
     """Each type's best class, given the classes around its occurrences; the end keeps class 0.
 
+    Empty and ``barred`` classes take nothing in.
+
     The score of a class is the log-likelihood of the type's occurrences in it: the transitions into
     and out of it, and the share of the class that the type would be.
     """
@@ -213,7 +215,11 @@ def exchange(after: np.ndarray, before: np.ndarray, classes: np.ndarray, allowed
     size = moves.sum(1)
     out = np.log((moves + 0.5) / (size + 0.5 * CLASSES)[:, None])
     score = before @ np.log(moves + 0.5) + after @ out.T - after.sum(1)[:, None] * np.log(size + 1.0)[None, :]
-    score[:, ~allowed] = -np.inf
+    open_ = size > 0
+    open_[[0, *barred]] = False
+    if not open_.any():
+        return classes
+    score[:, ~open_] = -np.inf
     chosen = np.argmax(score, axis=1)
     chosen[0] = 0
     return chosen.astype(np.uint8)
@@ -223,13 +229,10 @@ def _cluster(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all types after ``ROUNDS`` rounds, and the counts of transitions between classes."""
     classes = np.full(TYPES, CLASSES - 1, np.uint8)
     classes[: CLASSES - 1] = np.arange(CLASSES - 1)  # the end, and the most frequent words
-    allowed = np.ones(CLASSES, bool)
-    allowed[0] = False
     for round_ in range(ROUNDS):
         after, before = _count_neighbours(encoded, classes)
         # The last class holds all the rest at first, so nothing is to stay there for its size.
-        allowed[CLASSES - 1] = round_ > 0
-        classes = exchange(after, before, classes, allowed)
+        classes = exchange(after, before, classes, () if round_ else (CLASSES - 1,))
     after, _ = _count_neighbours(encoded, classes)
     return classes, _transitions(after, classes)
 

@@ -46,14 +46,15 @@ def whole(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.nd
 
 
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products: doubles where they hold whole numbers, else 64-bit or Python integers."""
+    """Exact inner products: doubles where they hold whole numbers, else integers, held within 64 bits."""
     bound = max(queries.shape[1], 1) * abs(queries).max(initial=0) * abs(vectors).max(initial=0)
     if bound < _EXACT:
         return queries @ vectors.T
     if bound < 2.0**62:
         return queries.astype(np.int64) @ vectors.astype(np.int64).T
     exact = np.frompyfunc(int, 1, 1)
-    return exact(queries) @ exact(vectors).T
+    held = np.frompyfunc(lambda s: min(max(s, _LIMITS.min), _LIMITS.max), 1, 1)
+    return held(exact(queries) @ exact(vectors).T)
 
 
 def _best(scores: np.ndarray, barred: np.ndarray, k: int) -> np.ndarray:
@@ -115,7 +116,6 @@ def _search(shared, k: int):
             rows = [(q, i, s) for q, found in zip(own.ids.tolist(), own.found) for s, i in found]
             for at in range(0, len(rows), 10_000):
                 query, vec, score = zip(*rows[at : at + 10_000])
-                score = [min(max(s, _LIMITS.min), _LIMITS.max) for s in score]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, pa.int64()) for x in (query, vec, score, [task] * len(query))],
                     ["query_id", "vec_id", "score", "shard"],
@@ -142,7 +142,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     floor(1024 * x). Ties go to the smaller id; a query's own id is no candidate. Rows whose id or
     vector is null, or that hold a null or non-finite component, take no part; vectors of another
     length than the query are no candidates. Of queries that share an id one list is returned, over
-    all of them. Scores beyond 64 bits rank exactly and are returned as the nearest long.
+    all of them. Scores beyond 64 bits count as the nearest long.
     """
     spark = vectors.sparkSession
     vectors = vectors.toDF("vec_id", "vector").where("vec_id IS NOT NULL")
