@@ -13,16 +13,14 @@ WHITESPACE = r"[ \t\n\x0B\f\r]+"
 NON_WORD = r"[^\p{L}\p{N}]+"
 SENTENCE = r"[^.!?\n]+"
 EMPTY_QUESTION_ERROR = "ERROR the question should not be empty"
+HUMAN_TEMPLATE = "Given the context: {context}. Answer the question {question}."
+
+# Defaults of this library; pass others as needed.
 SYSTEM_MESSAGE = (
     "Answer the question from the given context only. If the context is irrelevant, "
     "not enough, or the question is incomplete, just say I don't know."
 )
-HUMAN_TEMPLATE = "Given the context: {context}. Answer the question {question}."
-ABBREVIATIONS = {
-    "ML": "Machine Learning",
-    "HMS": "Hive Metastore",
-    "UDF": "User Defined Function",
-}
+ABBREVIATIONS = {"RPM": "revolutions per minute", "MPH": "miles per hour"}
 
 
 def _col(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askloom.functions.retry import call_with_retry, no_rate_limit
 from askloom.functions.text import _col, words
 
 METRICS = ("l2sq", "cosine", "ip")
@@ -125,10 +126,18 @@ def hashed_embedding(dim: int = 64) -> Callable[[Column | str], Column]:
 
 
 def model_embedding(
-    encode: Callable[[Sequence[str]], np.ndarray], dim: int, batch_rows: int = 500
+    encode: Callable[[Sequence[str]], np.ndarray],
+    dim: int,
+    batch_rows: int = 500,
+    is_rate_limit: Callable[[Exception], bool] = no_rate_limit,
+    timeout_sec: float = 600,
+    wait_sec: float = 2,
 ) -> Callable[[Column | str], Column]:
     """Wrap a user's batch encoder (texts in, ``n x dim`` numbers out) as a column function.
 
+    A batch that meets a rate limit is sent again until ``timeout_sec`` is up; then the task fails,
+    because an index must not lack rows in silence.
+
     Marked non-deterministic so that Spark never evaluates the model twice for a row.
     """
 
@@ -138,7 +147,11 @@ def model_embedding(
         present = np.flatnonzero(~missing)
         for start in range(0, len(present), batch_rows):
             rows = present[start : start + batch_rows]
-            got = np.asarray(encode(texts.take(pa.array(rows)).to_pylist()))
+            batch = texts.take(pa.array(rows)).to_pylist()
+            got, error = call_with_retry(lambda batch=batch: encode(batch), is_rate_limit, timeout_sec, wait_sec)
+            if error is not None:
+                raise TimeoutError(error)
+            got = np.asarray(got)
             if got.shape != (len(rows), dim):
                 raise ValueError(f"encoder returned shape {got.shape}, expected {(len(rows), dim)}")
             out[rows] = got

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -10,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askloom.functions.answers import is_good_answer, overlap_answer, source_of
+from askloom.functions.answers import NON_ANSWER_PHRASES, is_good_answer, overlap_answer, source_of
+from askloom.functions.retry import call_with_retry, no_rate_limit
 from askloom.functions.text import build_prompt, expand_abbreviations, validate_question
 from askloom.operators.retrieval import retrieve
 
@@ -28,32 +28,6 @@ GENERATED = T.StructType(
 )
 
 
-def call_with_retry(
-    call: Callable[[], Sequence[str | None]],
-    is_rate_limit: Callable[[Exception], bool],
-    timeout_sec: float = 60,
-    wait_sec: float = 2,
-    clock: Callable[[], float] = time.monotonic,
-    sleep: Callable[[float], None] = time.sleep,
-) -> tuple[Sequence[str | None] | None, str | None]:
-    """(result, error): retried on rate limits until the time is up; other errors are raised.
-
-    Running out of time gives no result and the last message, so the row
-    survives with a null answer.
-    """
-    deadline = clock() + timeout_sec
-    message = "timed out"
-    while clock() < deadline:
-        try:
-            return call(), None
-        except Exception as error:
-            if not is_rate_limit(error):
-                raise
-            message = f"rate limit: {error}"
-            sleep(wait_sec)
-    return None, message
-
-
 def overlap_generator(context: Column, question: Column) -> Column:
     """Built-in stand-in for a model, all native columns."""
     return F.struct(
@@ -67,14 +41,31 @@ def _prompt_batch(prompts: Iterable) -> list[list[dict]]:
     return [[{"role": m["role"], "content": m["content"]} for m in chat] for chat in prompts]
 
 
-def _no_rate_limit(_: Exception) -> bool:
-    return False
+def ask_in_batches(
+    model: Model,
+    chats: Sequence[list[dict]],
+    is_rate_limit: Callable[[Exception], bool],
+    timeout_sec: float,
+    wait_sec: float,
+    batch_rows: int,
+) -> tuple[list[str | None], list[str | None]]:
+    """The model's text and error for each chat. A batch that runs out of time has errors only."""
+    answers: list[str | None] = []
+    errors: list[str | None] = []
+    for start in range(0, len(chats), batch_rows):
+        batch = chats[start : start + batch_rows]
+        got, error = call_with_retry(lambda batch=batch: model(batch), is_rate_limit, timeout_sec, wait_sec)
+        if got is not None and len(got) != len(batch):
+            raise ValueError("the model must return one text per chat")
+        answers += [None] * len(batch) if got is None else list(got)
+        errors += [error] * len(batch)
+    return answers, errors
 
 
 def model_generator(
     model: Model,
     name: str = "model",
-    is_rate_limit: Callable[[Exception], bool] = _no_rate_limit,
+    is_rate_limit: Callable[[Exception], bool] = no_rate_limit,
     timeout_sec: float = 60,
     wait_sec: float = 2,
     batch_rows: int = 16,
@@ -83,17 +74,9 @@ def model_generator(
     """Wrap a chat model as a generator; every row is sent once, in small batches."""
 
     def generate(prompts: pd.Series) -> pd.DataFrame:
-        answers: list[str | None] = []
-        errors: list[str | None] = []
-        for start in range(0, len(prompts), batch_rows):
-            chats = _prompt_batch(prompts.iloc[start : start + batch_rows])
-            got, error = call_with_retry(
-                lambda chats=chats: model(chats), is_rate_limit, timeout_sec, wait_sec
-            )
-            if got is not None and len(got) != len(chats):
-                raise ValueError("the model must return one text per chat")
-            answers += [None] * len(chats) if got is None else list(got)
-            errors += [error] * len(chats)
+        answers, errors = ask_in_batches(
+            model, _prompt_batch(prompts), is_rate_limit, timeout_sec, wait_sec, batch_rows
+        )
         return pd.DataFrame(
             {
                 "answer": pd.Series(answers, dtype=object),
@@ -135,15 +118,25 @@ def first_good_answer(
     key: str = "question_id",
     rank: str = "rank",
     fields: Sequence[str] = ("answer", "source", "output_metadata"),
+    error: str | None = None,
 ) -> DataFrame:
     """The good answer of smallest rank per question; questions without one give no row.
 
     Aggregated, so each task sends on at most one row per question. Bad answers
     lose their rank, which ``min_by`` skips: a filter would be pushed into the
     generator's expression and repeat it for every phrase.
+
+    With an ``error`` column, an error before the first good answer ends the walk:
+    the question keeps the error and null fields, because a worse-ranked answer
+    might not be the one that a working model would have given.
     """
-    good_rank = F.when(is_good_answer("answer"), F.col(rank))
-    best = scored.groupBy(key).agg(F.min_by(F.struct(*fields), good_rank).alias("_best"))
+    good, wanted = is_good_answer("answer"), [F.col(f) for f in fields]
+    if error is not None:
+        failed = F.col(error).isNotNull()
+        good = good | failed
+        wanted = [F.when(~failed, c).alias(f) for c, f in zip(wanted, fields)] + [F.col(error)]
+        fields = (*fields, error)
+    best = scored.groupBy(key).agg(F.min_by(F.struct(*wanted), F.when(good, F.col(rank))).alias("_best"))
     found = best.filter(F.col("_best").isNotNull())
     return found.select(key, *[F.col(f"_best.{f}").alias(f) for f in fields])
 
@@ -154,10 +147,10 @@ def best_answers(
     generator: Generator = overlap_generator,
     key: str = "question_id",
 ) -> DataFrame:
-    """Generate an answer from every candidate and keep each question's first good one."""
+    """Generate an answer from every candidate and keep each question's first good one, or its error."""
     asked = candidates.join(questions.select(key, "question"), key)
     scored = generate_answers(asked, generator).withColumn("source", source_of("metadata"))
-    return first_good_answer(scored, key)
+    return first_good_answer(scored, key, error="error")
 
 
 def answer_cascade(
@@ -168,6 +161,8 @@ def answer_cascade(
 ) -> DataFrame:
     """Walk each question's candidates nearest first; the first good answer wins.
 
+    A model call that failed before it leaves the question unanswered, with the ``error``.
+
     ``candidates`` holds ``key, rank, text, metadata``. Scores every candidate,
     which is right for cheap generators; see ``answer_until_good`` for paid models.
     """
@@ -179,16 +174,17 @@ def answer_until_good(
     candidates: DataFrame,
     model: Model,
     name: str = "model",
-    is_rate_limit: Callable[[Exception], bool] = _no_rate_limit,
+    is_rate_limit: Callable[[Exception], bool] = no_rate_limit,
     timeout_sec: float = 60,
     wait_sec: float = 2,
     key: str = "question_id",
+    batch_rows: int = 16,
     **prompt_options: str,
 ) -> DataFrame:
-    """The same result with early stop: no model call after a question's first good answer.
+    """The same result with early stop: no model call after a question's first good answer or error.
 
     Each question becomes one row with its (at most k) candidates in rank order.
-    Within a batch, wave r asks about the r-th candidate of the questions still open.
+    Wave r asks, in batches of ``batch_rows``, about the r-th candidate of the questions still open.
     """
     chat = build_prompt("text", "question", **prompt_options)
     rows = (
@@ -203,12 +199,11 @@ def answer_until_good(
             T.StructField("answer", T.StringType()),
             T.StructField("source", T.StringType()),
             T.StructField("output_metadata", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("error", T.StringType()),
         ]
     )
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        from askloom.functions.answers import NON_ANSWER_PHRASES
-
         for batch in batches:
             tries = [list(t) for t in batch["tries"]]
             found: dict[int, tuple] = {}
@@ -217,13 +212,13 @@ def answer_until_good(
                 if not waiting:
                     break
                 chats = _prompt_batch(tries[i][wave]["chat"] for i in waiting)
-                got, _ = call_with_retry(
-                    lambda chats=chats: model(chats), is_rate_limit, timeout_sec, wait_sec
-                )
-                for i, answer in zip(waiting, got or []):
+                made = ask_in_batches(model, chats, is_rate_limit, timeout_sec, wait_sec, batch_rows)
+                for i, answer, error in zip(waiting, *made):
                     lowered = None if answer is None else answer.lower()
-                    if lowered is not None and not any(p in lowered for p in NON_ANSWER_PHRASES):
-                        found[i] = (answer, tries[i][wave]["source"], {"model": name})
+                    if error is not None:
+                        found[i] = (None, None, None, error)
+                    elif lowered is not None and not any(p in lowered for p in NON_ANSWER_PHRASES):
+                        found[i] = (answer, tries[i][wave]["source"], {"model": name}, None)
             hits = sorted(found)
             yield pd.DataFrame(
                 {
@@ -231,6 +226,7 @@ def answer_until_good(
                     "answer": [found[i][0] for i in hits],
                     "source": [found[i][1] for i in hits],
                     "output_metadata": [found[i][2] for i in hits],
+                    "error": pd.Series([found[i][3] for i in hits], dtype=object),
                 }
             )
 
@@ -248,7 +244,8 @@ def batch_predict(
 ) -> DataFrame:
     """Questions in, one answer record each: retrieve, generate, keep the first good answer.
 
-    A blank question is not searched for; its answer is the error text.
+    A blank question is not searched for; its answer is the error text. ``error``
+    tells a failed model call from a question without a good answer.
     ``index`` needs ``chunk_id, text, metadata, embedding``.
     """
     error = validate_question("question")

@@ -115,11 +115,15 @@ def chunk_udf(
     return F.pandas_udf(cut_batches, T.ArrayType(T.StringType()))
 
 
+def metadata_map(columns: Sequence[str]) -> Column:
+    """The named columns as one map from name to value, as strings."""
+    pairs = [part for c in columns for part in (F.lit(c), F.col(c).cast("string"))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+
 def with_metadata(
     df: DataFrame, text: str = "text", exclude: Sequence[str] = ("text", "num_chunks")
 ) -> DataFrame:
     """The text as ``page_content`` and all columns not excluded as one string map ``metadata``."""
     kept = [c for c in df.columns if c not in exclude]
-    pairs = [part for c in kept for part in (F.lit(c), F.col(c).cast("string"))]
-    metadata = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return df.select(F.col(text).alias("page_content"), metadata.alias("metadata"))
+    return df.select(F.col(text).alias("page_content"), metadata_map(kept).alias("metadata"))

@@ -4,19 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askloom.functions.answers import exact_grader, find_correct_source, same_as_answer
-from askloom.operators.answering import batch_predict
+from askloom.functions.retry import no_rate_limit
+from askloom.operators.answering import Model, ask_in_batches, batch_predict
 
-# A grader maps (question, answer, prediction) columns to a grade text.
+# A grader maps (question, answer, prediction) columns to a grade text, or to struct<grade, error>.
 Grader = Callable[[Column, Column, Column], Column]
 
+GRADED = T.StructType([T.StructField("grade", T.StringType()), T.StructField("error", T.StringType())])
+GRADING_TASK = (
+    "You compare an answer with the known right one. Reply with the single word CORRECT if both say the "
+    "same about the question, else with the single word INCORRECT."
+)
+
+
+def model_grader(
+    model: Model,
+    is_rate_limit: Callable[[Exception], bool] = no_rate_limit,
+    timeout_sec: float = 60,
+    wait_sec: float = 2,
+    batch_rows: int = 16,
+    task: str = GRADING_TASK,
+) -> Grader:
+    """Wrap a chat model as a grader; every row is sent once, in small batches.
+
+    Rows whose batch ran out of time have a null grade and an error.
+    """
+
+    def grade(question: pd.Series, answer: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+        chats = [
+            [
+                {"role": "system", "content": task},
+                {"role": "human", "content": f"Question: {q}\nRight answer: {a}\nAnswer to judge: {p}"},
+            ]
+            for q, a, p in zip(question, answer, prediction)
+        ]
+        grades, errors = ask_in_batches(model, chats, is_rate_limit, timeout_sec, wait_sec, batch_rows)
+        columns = {"grade": grades, "error": errors}
+        return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in columns.items()})
+
+    grade.__annotations__ = dict.fromkeys(("question", "answer", "prediction"), pd.Series) | {"return": pd.DataFrame}
+    return F.pandas_udf(grade, GRADED).asNondeterministic()
+
 
 def grade_answers(df: DataFrame, grader: Grader = exact_grader) -> DataFrame:
-    """Add ``grade`` to rows with ``question``, ``answer`` and ``prediction``."""
-    return df.withColumn("grade", grader(F.col("question"), F.col("answer"), F.col("prediction")))
+    """Add ``grade`` to rows with ``question``, ``answer`` and ``prediction``.
+
+    A grader that also tells errors adds ``grade_error``; it runs once per row.
+    """
+    made = df.withColumn("_grade", grader(F.col("question"), F.col("answer"), F.col("prediction")))
+    if isinstance(made.schema["_grade"].dataType, T.StructType):
+        both = F.col("_grade.grade").alias("grade"), F.col("_grade.error").alias("grade_error")
+        return made.select(*df.columns, *both)
+    return made.withColumnRenamed("_grade", "grade")
 
 
 def join_eval(

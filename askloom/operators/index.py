@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,20 +15,32 @@ def append_index(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> Column:
-    """A number fixed by the row's content, to settle equal versions the same way every time."""
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return F.xxhash64(*plain)
+    """A number fixed by the row's content, to settle equal versions the same way every time.
+
+    Maps count by their sorted entries.
+    """
+    parts = []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        entries = isinstance(field.dataType, T.MapType)
+        parts.append(F.array_sort(F.map_entries(column)) if entries else column)
+    return F.xxhash64(*parts)
 
 
 def latest_per_key(df: DataFrame, key: str, version: str, *then: str) -> DataFrame:
     """One row per key, the one with the highest version (then ``then``, then content hash).
 
-    An aggregate rather than a window: each task reduces its rows before the
-    shuffle, so a key with a third of all rows is no hot spot.
+    Only (key, version, hash) are aggregated, so each task reduces its keys before the shuffle and a key
+    with a third of all rows is no hot spot; no text or vector enters an aggregate. The winners are
+    joined back to the rows; equal rows of a key count once.
     """
-    order = F.struct(version, *then, content_hash(df))
-    rows = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("_row"))
-    return rows.select("_row.*")
+    order = [version, *then, "_hash"]
+    rows = df.withColumn("_hash", content_hash(df))
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*order)).alias("_last"))
+    same = rows[key].eqNullSafe(last["_key"]) & F.struct(*order).eqNullSafe(F.col("_last"))
+    one = Window.partitionBy(key).orderBy("_hash")
+    won = rows.join(last, same).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    return won.select(*df.columns)
 
 
 def merge_index(
@@ -54,7 +66,7 @@ def apply_changes(
     """Insert, update and delete by primary key; the last version of a key wins.
 
     ``changes`` has the index columns plus ``op`` (``delete`` removes, anything
-    else inserts or replaces). Changes older than what the index holds are
+    else, null too, inserts or replaces). Changes older than what the index holds are
     ignored. The changes are reduced to one per key and stored, so that Spark
     knows their size when it plans: next to a small set the index is not
     shuffled at all, next to a large one both sides meet by key.
@@ -66,5 +78,5 @@ def apply_changes(
     newer = (
         index.select(key, version).join(marks, key).filter(F.col("_changed") < F.col(version))
     )
-    arriving = last.filter(F.col(op_col) != "delete").join(newer, key, "left_anti")
+    arriving = last.filter(~F.col(op_col).eqNullSafe("delete")).join(newer, key, "left_anti")
     return untouched.select(*index.columns).unionByName(arriving.select(*index.columns))

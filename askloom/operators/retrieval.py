@@ -7,17 +7,17 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askloom.functions.vectors import METRICS
+from askloom.operators.index import content_hash
 from askloom.session import materialize
 
-BLOCK_ROWS = 16_384
+BLOCK_BYTES = 16 * 1024 * 1024  # vectors that a task compares at once
 QUESTION_TILE = 256
 BROADCAST_BYTES = 64 * 1024 * 1024
-HIT_BYTES = 128  # generous size of one result row: two keys, a distance, a rank
 
 
 def topk(
@@ -83,9 +83,10 @@ def _block_topk(
         sq_a, sq_b = (asked**2).sum(axis=1), (block**2).sum(axis=1)
         dots = asked @ block.T
         rough = -dots if metric == "ip" else sq_b[None, :] - 2 * dots
-        scale = sq_a + sq_b.max()
+        # Rows that are not finite have no rounding error to allow for, and must not hide that of others.
+        scale = sq_a + sq_b[np.isfinite(sq_b)].max(initial=0.0)
     rough[np.isnan(rough)] = np.inf  # last, as in Spark's order
-    scale = np.nan_to_num(scale, nan=0.0)
+    scale = np.nan_to_num(scale, nan=0.0, posinf=0.0)
     if k < len(block):
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
         rows, cols = np.nonzero(rough <= (kth + 1e-9 * scale)[:, None])
@@ -106,52 +107,74 @@ def _block_topk(
 
 
 def _without_spare_copies(block: np.ndarray, id_rank: np.ndarray, k: int) -> np.ndarray:
-    """Rows that can be among the k nearest of any vector: the k smallest ids of each set of copies.
+    """Rows that can be among the k nearest keys of any vector: of each set of copies the k smallest ids.
 
     Copies are equally far from everything and ties go to the smaller id, so the
-    result stays exact however many copies a block holds.
+    result stays exact however many copies a block holds. A key that repeats a
+    vector counts once.
     """
     weights = np.sqrt(np.arange(2.0, 2.0 + block.shape[1]))
     order = np.lexsort((id_rank, _sum_dims(block * weights)))
-    ordered = block[order]
+    ordered, ranks = block[order], id_rank[order]
     starts = np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)]
+    fresh = starts | np.r_[True, ranks[1:] != ranks[:-1]]
+    order, starts = order[fresh], starts[fresh]
     place = np.arange(len(order)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
     return order[place < k]
 
 
 def _search_block(
-    asked_ids: pa.Array,
-    asked: np.ndarray,
-    ids: pa.Array,
-    block: np.ndarray,
-    k: int,
-    metric: str,
-    schema: pa.Schema,
-) -> Iterator[pa.RecordBatch]:
-    if not len(asked) or not len(block):
-        return
-    rank = np.empty(len(ids), dtype=np.int64)
-    rank[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+    asked: np.ndarray, ids: pa.Array, block: np.ndarray, k: int, metric: str
+) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(asked row, id, distance) of each asked vector's k nearest keys in the block, and maybe more rows."""
+    places = pc.dictionary_encode(ids)
+    order = np.asarray(pc.sort_indices(places.dictionary))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    rank = rank[np.asarray(places.indices)]
     kept = _without_spare_copies(block, rank, k)
     block, rank, ids = block[kept], rank[kept], ids.take(pa.array(kept))
+    # A key with several vectors may take as many places before the k-th key comes.
+    most = int(np.bincount(rank).max()) if len(rank) else 1
     for start in range(0, len(asked), QUESTION_TILE):
-        rows, cols, dist = _block_topk(asked[start : start + QUESTION_TILE], block, rank, k, metric)
-        yield pa.RecordBatch.from_arrays(
-            [asked_ids.take(pa.array(rows + start)), ids.take(pa.array(cols)), pa.array(dist)],
-            schema=schema,
-        )
-
-
-def _in_blocks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+        rows, cols, dist = _block_topk(asked[start : start + QUESTION_TILE], block, rank, k * most, metric)
+        yield rows + start, ids.take(pa.array(cols)), dist
+
+
+def _nearest_keys(rows: np.ndarray, ids: pa.Array, dist: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of (asked row, id, distance): each row's k nearest distinct ids, ties to the smaller id."""
+    places = pc.dictionary_encode(ids)
+    order = np.asarray(pc.sort_indices(places.dictionary))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    rank = rank[np.asarray(places.indices)]
+    first = np.lexsort((dist, rank, rows))
+    fresh = np.r_[True, (np.diff(rows[first]) != 0) | (np.diff(rank[first]) != 0)][: len(first)]
+    first = first[fresh]
+    order = first[np.lexsort((rank[first], dist[first], rows[first]))]
+    ordered = rows[order]
+    begin = np.searchsorted(ordered, ordered)
+    order = order[np.arange(len(order)) - begin < k]
+    return rows[order], ids.take(pa.array(order)), dist[order]
+
+
+def _in_blocks(batches: Iterable[pa.RecordBatch], vector: str) -> Iterator[pa.Table]:
+    """Arrow batches put together, or cut, to blocks of about ``BLOCK_BYTES`` of doubles."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    room = 0
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= rows:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if size:
+        at = 0
+        while at < batch.num_rows:
+            if not room:
+                dim = len(batch.column(vector)[at])
+                room = max(1, BLOCK_BYTES // (8 * max(dim, 1)))
+            part = batch.slice(at, room)
+            held.append(part)
+            at, room = at + part.num_rows, room - part.num_rows
+            if not room:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
         yield pa.Table.from_batches(held)
 
 
@@ -182,22 +205,17 @@ def nearest(
     index_key: str = "chunk_id",
     vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
-) -> tuple[DataFrame, bool]:
-    """Exact k nearest ``(question_key, index_key, distance, rank)``, and whether that result
-    is known to stay below ``broadcast_bytes``.
-
-    Nothing is paired up row by row: each task compares matrices block by block
-    and emits at most k rows per question and block, which a grouped top-k merges.
-    Two ways to bring the sides together, chosen by size:
-
-    * question vectors counted to fit ``broadcast_bytes`` go to every task and the
-      index is scanned once, unshuffled;
-    * more questions: both sides are cut into hashed groups of bounded size and
-      every (question group, index group) pair becomes one cogroup.
-
-    The questions are looked at more than once, so computed vectors should be stored
-    before (``retrieve`` does). Rows without a vector can be nobody's neighbour and
-    are left out. ``where`` filters the index before ranking.
+) -> DataFrame:
+    """Exact k nearest ``(question_key, index_key, distance, rank)``.
+
+    A key counts once per question, by its nearest row, however often the index holds it; so a question
+    gets k keys if there are so many. Nothing is paired up row by row: the index is scanned where it
+    lies, unshuffled, once for each group of questions that fits ``broadcast_bytes``. Each task compares
+    matrices block by block, keeps a running best k, and sends these on once; a grouped top-k merges them.
+
+    The questions are looked at more than once, so computed vectors should be stored before (``retrieve``
+    does). Rows without a vector can be nobody's neighbour and are left out; vectors that are not finite
+    come last. ``where`` filters the index before ranking.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -211,19 +229,25 @@ def nearest(
         [asked.schema[question_key], found.schema[index_key], T.StructField("distance", T.DoubleType())]
     )
     count, dim = asked.agg(F.count("*"), F.max(F.size(vector))).first()
-    if not count:
+    groups = -(-count // max(1, broadcast_bytes // (8 * ((dim or 0) + 8))))
+    if not groups:
         empty = questions.sparkSession.createDataFrame([], schema)
-        return topk(empty, k, question_key, ("distance", index_key)), True
-    most = max(1, broadcast_bytes // (8 * (dim + 8)))
-    if count <= most:
-        pairs = _search_by_broadcast(asked.toArrow(), found, schema, k, metric, vector)
+        return topk(empty, k, question_key, ("distance", index_key))
+    if groups == 1:
+        pairs = _search_group(asked.toArrow(), found, schema, k, metric, vector)
     else:
-        pairs = _search_by_grid(asked, count, found, schema, k, metric, vector, most)
-    merged = topk(pairs, k, question_key, ("distance", index_key))
-    return merged, count <= most and count * k * HIT_BYTES <= broadcast_bytes
-
-
-def _search_by_broadcast(
+        # One group at a time is on the driver and on the executors; its few best rows are stored.
+        pairs = None
+        for group in range(groups):
+            own = asked.filter(F.pmod(F.xxhash64(question_key), F.lit(groups)) == group)
+            part = materialize(_search_group(own.toArrow(), found, schema, k, metric, vector), "hits")
+            pairs = part if pairs is None else pairs.union(part)
+    # Tasks saw other rows of a key: its nearest counts.
+    pairs = pairs.groupBy(question_key, index_key).agg(F.min("distance").alias("distance"))
+    return topk(pairs, k, question_key, ("distance", index_key))
+
+
+def _search_group(
     taken: pa.Table, found: DataFrame, schema: T.StructType, k: int, metric: str, vector: str
 ) -> DataFrame:
     question_key, index_key = schema[0].name, schema[1].name
@@ -234,67 +258,21 @@ def _search_by_broadcast(
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_ids, asked = shipped.value
-        for table in _in_blocks(batches, BLOCK_ROWS):
-            yield from _search_block(
-                asked_ids,
-                asked,
-                _ids(table[index_key]),
-                _matrix(table[vector]),
-                k,
-                metric,
-                arrow_schema,
-            )
+        best = None
+        for table in _in_blocks(batches, vector):
+            hits = [] if best is None else [best]
+            if len(asked):
+                hits += _search_block(asked, _ids(table[index_key]), _matrix(table[vector]), k, metric)
+            if hits:
+                rows, ids, dist = zip(*hits)
+                best = _nearest_keys(np.concatenate(rows), pa.concat_arrays(ids), np.concatenate(dist), k)
+        if best is not None:
+            columns = [asked_ids.take(pa.array(best[0])), best[1], pa.array(best[2])]
+            yield from pa.Table.from_arrays(columns, schema=arrow_schema).to_batches(max_chunksize=10_000)
 
     return found.mapInArrow(search, schema)
 
 
-def _search_by_grid(
-    asked: DataFrame,
-    n_asked: int,
-    found: DataFrame,
-    schema: T.StructType,
-    k: int,
-    metric: str,
-    vector: str,
-    group_rows: int,
-) -> DataFrame:
-    question_key, index_key = schema[0].name, schema[1].name
-    arrow_schema = _arrow_schema(schema)
-    n_q = -(-n_asked // group_rows)
-    n_i = max(1, -(-found.count() // (2 * group_rows)))
-
-    def group_of(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-
-    def all_groups(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = asked.select("*", group_of(question_key, n_q).alias("_q"), all_groups(n_i).alias("_i"))
-    right = found.select("*", group_of(index_key, n_i).alias("_i"), all_groups(n_q).alias("_q"))
-
-    def search(asked_rows: pa.Table, index_rows: pa.Table) -> pa.Table:
-        if not asked_rows.num_rows or not index_rows.num_rows:
-            return arrow_schema.empty_table()
-        asked_ids, asked_vectors = _ids(asked_rows[question_key]), _matrix(asked_rows[vector])
-        hits: list[pa.RecordBatch] = []
-        for start in range(0, index_rows.num_rows, BLOCK_ROWS):
-            block = index_rows.slice(start, BLOCK_ROWS)
-            hits += _search_block(
-                asked_ids,
-                asked_vectors,
-                _ids(block[index_key]),
-                _matrix(block[vector]),
-                k,
-                metric,
-                arrow_schema,
-            )
-        return pa.Table.from_batches(hits, schema=arrow_schema)
-
-    return (
-        left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(search, schema)
-    )
-
-
 def knn(
     questions: DataFrame,
     index: DataFrame,
@@ -312,11 +290,13 @@ def knn(
     """The k nearest index rows per question: keys, ``distance``, ``rank`` and the index's payload.
 
     The search itself reads keys and vectors only; the payload (default: all
-    other index columns) is looked up for the winners. ``exclude_same_id`` keeps
-    an index row from being its own neighbour when a table searches itself.
+    other index columns) is looked up for the winners. A key that the index holds
+    more than once is one neighbour, with the payload of one of its rows: the one
+    with the smallest content hash. ``exclude_same_id`` keeps an index row from
+    being its own neighbour when a table searches itself.
     """
     want = k + 1 if exclude_same_id else k
-    hits, small = nearest(
+    hits = nearest(
         questions,
         index,
         want,
@@ -334,10 +314,10 @@ def knn(
         payload = [c for c in index.columns if c not in (index_key, vector)]
     if not payload:
         return hits
-    lookup = _filtered(index, where).select(index_key, *payload)
-    if small:  # k rows for each question the size check let through: a proven bound
-        return lookup.join(F.broadcast(hits), index_key)
-    return lookup.join(materialize(hits, "hits"), index_key)
+    lookup = _filtered(index, where).filter(F.col(vector).isNotNull()).select(index_key, *payload)
+    found = lookup.join(hits, index_key).withColumn("_hash", content_hash(lookup))
+    one = Window.partitionBy(*hits.columns).orderBy("_hash")
+    return found.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row", "_hash")
 
 
 def retrieve(

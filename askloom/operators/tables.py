@@ -13,7 +13,6 @@ from askloom.functions.text import script_statements
 from askloom.session import materialize
 
 BATCH_ROWS = 500
-PAGE_ROWS = 100_000
 
 
 def count_rows(df: DataFrame) -> DataFrame:
@@ -64,15 +63,14 @@ def number_rows(df: DataFrame, keys: Sequence[str], out: str = "row_no") -> Data
 
 
 def page(df: DataFrame, limit: int, offset: int, keys: Sequence[str]) -> DataFrame:
-    """Limit first, then skip: rows ``offset + 1 .. limit`` of the key order.
+    """Limit first, then skip: rows ``offset + 1 .. limit`` of the key order, which must be a total one.
 
-    A limit merges its rows in one task, so beyond ``PAGE_ROWS`` the same rows are
-    taken by their number instead.
+    Only the keys are sorted and numbered; the wanted ones are joined back to the rows, so no text is
+    moved for rows outside the page. The rows of the page come in no promised order.
     """
-    if limit <= PAGE_ROWS:
-        return df.orderBy(*keys).limit(limit).offset(offset)
-    numbered = number_rows(df, keys, "_row_no")
-    return numbered.filter(F.col("_row_no").between(offset + 1, limit)).drop("_row_no")
+    wanted = number_rows(materialize(df.select(*keys), "keys"), keys, "_row_no")
+    wanted = wanted.filter(F.col("_row_no").between(offset + 1, limit)).select(*keys)
+    return df.join(wanted, list(keys), "left_semi")
 
 
 def batches(
@@ -84,8 +82,9 @@ def batches(
     """Number fixed-size batches from 0 in key order.
 
     ``full_only`` drops a last short batch, as a loop over ``count // size`` would.
+    The rows are stored before they are sorted, because the sort samples its input.
     """
-    placed = _placed(df, keys)
+    placed = _placed(materialize(df, "rows"), keys)
     numbered = _numbered(placed, "row_no").withColumn("batch_no", F.expr(f"(row_no - 1) div {size}"))
     return numbered.filter(F.col("batch_no") < placed.count() // size) if full_only else numbered
 

@@ -14,7 +14,7 @@ from askloom.session import materialize
 from askloom.sources.documents import spread
 
 SIZE, OVERLAP, DIM, K = 100, 10, 64, 5
-ANCHOR_WORDS = 4
+ANCHOR_WORDS, ANCHOR_CHARS = 4, 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,52 +49,76 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _passage_sources(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    """Source of the lowest document holding each passage.
+def _token_runs(toks, length: int, first, count):
+    """Hashes of the ``count`` runs of ``length`` tokens from place ``first`` on (from 1)."""
+    places = F.when(count > 0, F.sequence(first, first + count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(toks, i, F.lit(length)), " ")))
 
-    Four consecutive inner words of the passage anchor it: they must occur in any
-    document holding the passage, so an equi-join on them finds all candidates,
-    and only those texts are searched for the whole passage. The candidate pairs
-    are stored, so that Spark knows their size when it plans the join to the texts.
-    """
 
-    def runs(toks, first, count):
-        return F.transform(
-            F.when(count > 0, F.sequence(first, first + count - 1)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: F.array_join(F.slice(toks, i, F.lit(ANCHOR_WORDS)), " "),
-        )
+def _char_runs(text: str, length: int):
+    """Hashes of all runs of ``length`` characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - length + 1, F.lit(1)))
+    return F.transform(places, lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(length))))
 
-    anchors = asked.withColumn("_t", tokens("question")).select(
-        "question_id",
-        "question",
-        F.when(
-            F.size("_t") >= ANCHOR_WORDS + 2, F.array_join(F.slice("_t", 2, ANCHOR_WORDS), " ")
-        ).alias("_anchor"),
-    )
-    table_texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    toks = documents(spark, sf_dir).withColumn("_t", tokens("text"))
-    placed = toks.select(
-        "doc_id",
-        F.explode(
-            F.array_distinct(runs(F.col("_t"), F.lit(1), F.size("_t") - (ANCHOR_WORDS - 1)))
-        ).alias("_anchor"),
-    )
-    pairs = materialize(
-        placed.join(anchors.filter(F.col("_anchor").isNotNull()), "_anchor").drop("_anchor"),
-        "anchored",
-    )
-    held = table_texts.join(pairs, "doc_id").filter(
-        F.contains(F.col("text"), F.col("question"))
+
+def _anchored(texts: DataFrame, asked: DataFrame, text_runs, asked_runs) -> DataFrame:
+    """Candidate pairs (question_id, doc_id): documents that hold each question's rarest run.
+
+    Runs are hashes. Only those of some question leave the explode: Spark joins the stored set of wanted
+    runs to them, in the same stage where it is small.
+    """
+    wanted = asked.select("question_id", F.explode(F.array_distinct(asked_runs)).alias("_run"))
+    wanted = materialize(wanted, "wanted")
+    held = texts.select("doc_id", F.explode(F.array_distinct(text_runs)).alias("_run"))
+    held = materialize(held.join(wanted.select("_run").distinct(), "_run"), "held")
+    often = held.groupBy("_run").agg(F.count("*").alias("_n"))
+    rarest = (
+        wanted.join(often, "_run", "left")
+        .groupBy("question_id")
+        .agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), "_run")).alias("_run"))
     )
+    return rarest.join(held, "_run").select("question_id", "doc_id")
+
+
+def passage_sources(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Source of the lowest document holding each question text, for the questions that one holds.
+
+    A document that holds a passage holds all its inner tokens in a row, so an equi-join on runs of up
+    to ``ANCHOR_WORDS`` of these finds all candidates. A passage of one or two tokens has no inner ones
+    and goes by runs of up to ``ANCHOR_CHARS`` characters instead. Only the candidates' texts are
+    searched for the whole passage. The empty passage is in every text.
+    """
+    documents = documents.where("text IS NOT NULL").select("doc_id", "text", "source")
+    asked = asked.where("question IS NOT NULL").withColumn("_t", tokens("question"))
+    inner = F.least(F.size("_t") - 2, F.lit(ANCHOR_WORDS))
+    short = F.least(F.length("question"), F.lit(ANCHOR_CHARS))
+    asked = asked.withColumn("_kind", F.when(inner > 0, inner).otherwise(-short))
+    asked = materialize(asked, "asked")
+    pairs = None
+    for kind in sorted(r[0] for r in asked.select("_kind").distinct().collect()):  # few kinds at most
+        of_kind = asked.where(F.col("_kind") == kind)
+        if kind > 0:
+            texts = spread(documents).withColumn("_t", tokens("text"))
+            own = _token_runs(F.col("_t"), kind, F.lit(1), F.size("_t") - (kind - 1))
+            found = _anchored(texts, of_kind, own, _token_runs(F.col("_t"), kind, F.lit(2), F.size("_t") - 1 - kind))
+        elif kind < 0:
+            found = _anchored(spread(documents), of_kind, _char_runs("text", -kind), _char_runs("question", -kind))
+        else:
+            lowest = documents.agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
+            found = of_kind.select("question_id", F.lit(0).alias("_x")).join(lowest.withColumn("_x", F.lit(0)), "_x")
+            found = found.select("question_id", "doc_id")
+        pairs = found if pairs is None else pairs.union(found)
+    if pairs is None:
+        return asked.select("question_id", F.lit(None).cast("string").alias("correct_source"))
+    held = documents.join(materialize(pairs, "anchored"), "doc_id").join(asked.select("question_id", "question"), "question_id")
+    held = held.filter(F.contains(F.col("text"), F.col("question")))
     return held.groupBy("question_id").agg(F.min_by("source", "doc_id").alias("correct_source"))
 
 
 def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark as questions; the answer is the passage's sentence with most distinct words."""
     asked = questions(spark, sf_dir)
-    sources = _passage_sources(spark, sf_dir, asked)
+    sources = passage_sources(table(spark, sf_dir, "documents"), asked)
     ranked = F.transform(
         sentences("question"),
         lambda s, i: F.struct(
@@ -152,12 +176,12 @@ def versioned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletes, updates (in and out of order), stale updates and inserts, by the last digit of the id."""
+    """Deletes, updates (in and out of order, or without an op), stale updates and inserts, by the id's last digit."""
 
     def change(key, op, version, suffix):
         return F.struct(
             key.alias("doc_id"),
-            F.lit(op).alias("op"),
+            F.lit(op).cast("string").alias("op"),
             F.lit(version).cast("long").alias("version"),
             F.concat(F.col("text"), F.lit(suffix)).alias("text"),
         )
@@ -166,7 +190,7 @@ def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = key % 10
     made = (
         F.when(digit == 0, F.array(change(key, "delete", 2, "")))
-        .when(digit == 1, F.array(change(key, "update", 2, " edit two")))
+        .when(digit == 1, F.array(change(key, None, 2, " edit two")))
         .when(digit == 2, F.array(change(key, "update", 3, " edit three"), change(key, "update", 2, " edit two")))
         .when(digit == 3, F.array(change(key, "delete", 3, ""), change(key, "update", 2, " edit two")))
         .when(digit == 4, F.array(change(key, "update", 0, " stale")))

@@ -6,7 +6,7 @@ Small Python helpers only paste SQL fragments together; each entry is one statem
 from __future__ import annotations
 
 from askloom.functions.answers import NON_ANSWER_PHRASES, UNKNOWN_SOURCE
-from askloom.functions.text import EMPTY_QUESTION_ERROR, SYSTEM_MESSAGE
+from askloom.functions.text import ABBREVIATIONS, EMPTY_QUESTION_ERROR, SYSTEM_MESSAGE
 from askloom.plans.fixtures import DIM, K, OVERLAP, SIZE
 
 STEP = SIZE - OVERLAP
@@ -113,7 +113,7 @@ _ANSWERED = (
 _EVAL_SET = f"""held AS (
       SELECT b.item_id, arg_min(d.source, d.doc_id) AS correct_source
       FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-      WHERE len({_tokens('b.text')}) >= 6 GROUP BY b.item_id
+      GROUP BY b.item_id
     ), told AS (
       SELECT item_id, unnest({_SENTENCES.format(x='text')}) AS sentence,
              generate_subscripts({_SENTENCES.format(x='text')}, 1) AS place FROM benchmark
@@ -163,7 +163,8 @@ _MADE_ANSWERS = f"""said AS (
     )"""
 _DOC_STATE = """changes AS (
       SELECT doc_id, 'delete' AS op, 2 AS version, text FROM documents WHERE doc_id % 10 = 0
-      UNION ALL SELECT doc_id, 'update', 2, text || ' edit two' FROM documents WHERE doc_id % 10 IN (1, 2, 3)
+      UNION ALL SELECT doc_id, CASE WHEN doc_id % 10 > 1 THEN 'update' END, 2, text || ' edit two' FROM documents
+        WHERE doc_id % 10 IN (1, 2, 3)
       UNION ALL SELECT doc_id, 'update', 3, text || ' edit three' FROM documents WHERE doc_id % 10 = 2
       UNION ALL SELECT doc_id, 'delete', 3, text FROM documents WHERE doc_id % 10 = 3
       UNION ALL SELECT doc_id, 'update', 0, text || ' stale' FROM documents WHERE doc_id % 10 = 4
@@ -172,10 +173,17 @@ _DOC_STATE = """changes AS (
     ), state AS (
       SELECT doc_id, version::BIGINT AS version, text FROM (
         SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1
-      ) WHERE op <> 'delete'
+      ) WHERE op IS DISTINCT FROM 'delete'
     )"""
 
 
+_STREAMED_ANSWERS = (
+    _DOC_STATE
+    + ", "
+    + _ANSWERED.replace(_chunks(), _chunks("state", cols=f"doc_id, version, {_quote(UNKNOWN_SOURCE)} AS source"))
+)
+
+
 def _self_search(distance: str, where: str = "true") -> str:
     return f"""hits AS (
       SELECT q.vec_id AS question_id, i.vec_id, i.label, {distance} AS distance,
@@ -199,11 +207,7 @@ _FLAT_HITS = "SELECT question_id, rank, vec_id, label, round(distance, 6) AS dis
 
 def _abbreviated(x: str) -> str:
     out = x
-    for short, full in (
-        ("ML", "Machine Learning"),
-        ("HMS", "Hive Metastore"),
-        ("UDF", "User Defined Function"),
-    ):
+    for short, full in ABBREVIATIONS.items():
         out = f"regexp_replace({out}, '(?i)\\b{short}\\b', '{short} ({full})', 'g')"
     return out
 
@@ -230,14 +234,11 @@ def oracles() -> dict[str, str]:
         "split_text_and_metadata": chunk_rows
         + """SELECT text AS page_content, unnest(['doc_id', 'lang', 'source', 'chunk_no', 'chunk_id']) AS meta_key,
             unnest([doc_id::VARCHAR, lang, source, chunk_no::VARCHAR, chunk_id]) AS meta_value FROM chunks""",
-        "results_to_documents": _hits(l2_self)
-        + """SELECT question_id, rank, vec_id::VARCHAR AS page_content, label::VARCHAR AS label,
-            1::INTEGER AS n_metadata, round(distance, 6) AS score FROM hits""",
-        "response_documents": """SELECT vec_id, 1::INTEGER AS rank, vec_id::VARCHAR AS page_content,
-            label::VARCHAR AS label, 1::INTEGER AS n_metadata,
-            round(embedding[1]::DOUBLE, 6) AS score FROM embeddings""",
-        "content_only_documents": _hits(l2_self)
-        + "SELECT question_id, rank, vec_id::VARCHAR AS page_content FROM hits",
+        "results_to_documents": f"""WITH {_NEAR} SELECT question_id, rank, text AS page_content, chunk_id,
+            source, 2::INTEGER AS n_metadata, round(distance, 6) AS score FROM near""",
+        "response_documents": f"""WITH {_NEAR} SELECT question_id, rank, chunk_id AS page_content,
+            source, 1::INTEGER AS n_metadata, round(distance, 6) AS score FROM near""",
+        "content_only_documents": f"WITH {_NEAR} SELECT question_id, rank, text AS page_content FROM near",
         "source_or_unknown": f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source
             WHEN 1 THEN {_quote(UNKNOWN_SOURCE)} END AS source_label FROM documents""",
         "answer_present": f"""WITH {_MADE_ANSWERS} SELECT question_id, answer FROM made
@@ -276,8 +277,9 @@ def oracles() -> dict[str, str]:
         "topk_retrieval": f"""WITH {_NEAR} SELECT question_id, rank, chunk_id, text,
             round(distance, 6) AS distance FROM near""",
         "head_rows": "SELECT item_id AS question_id, text AS question FROM benchmark ORDER BY item_id LIMIT 5",
-        "index_merge": """SELECT vec_id, label FROM embeddings
-            UNION ALL SELECT vec_id, label + 100 FROM embeddings""",
+        "index_merge": """WITH rows AS (SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding,
+            lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings)
+            SELECT * FROM rows UNION ALL SELECT vec_id, label + 100, norm FROM rows""",
         "index_merge_idempotent": """SELECT vec_id,
             (CASE WHEN vec_id % 3 = 2 THEN label ELSE label + 100 END)::INTEGER AS label,
             greatest(1, 2 - vec_id % 3)::INTEGER AS version FROM embeddings""",
@@ -322,7 +324,7 @@ def oracles() -> dict[str, str]:
                    'Given the context: ' || context || '. Answer the question ' || question || '.' FROM chat""",
         "expand_abbreviations": "SELECT conv_id, turn, "
         + _abbreviated(
-            "((CASE WHEN turn % 2 = 1 THEN 'An udf for ML? ' ELSE 'HTML and ml: ' END) || text)"
+            "((CASE WHEN turn % 2 = 1 THEN 'An rpm for MPH? ' ELSE 'WRPM and rpm: ' END) || text)"
         )
         + " AS question FROM conversations",
         "same_as_answer": f"WITH {_GRADED} SELECT eval_id, same_as_answer FROM results",
@@ -362,6 +364,8 @@ def oracles() -> dict[str, str]:
                    CASE WHEN b.answer IS NOT NULL THEN 'length' END AS model
             FROM asked a LEFT JOIN best b USING (question_id)""",
         "batch_predict": f"WITH {_ANSWERED} SELECT * FROM answered",
+        "stream_index_answers": f"""WITH {_STREAMED_ANSWERS} SELECT question_id, question, answer, source,
+            model FROM answered""",
         "grade_answers": f"""WITH said AS (
               SELECT conv_id, turn, text AS answer, CASE turn % 3
                      WHEN 0 THEN ' ' || replace(text, ' ', ' - ') || '!' WHEN 1 THEN text || ' x' END AS prediction
@@ -374,6 +378,8 @@ def oracles() -> dict[str, str]:
             round(avg(same_as_answer::INTEGER), 6) AS accuracy,
             round(avg(find_correct_source::INTEGER), 6) AS source_rate FROM evaluated""",
     }
+    sql["knn_join_doubled"] = sql["knn_join"]
+    sql["stream_index_compact"] = sql["stream_index_sync"]
     sql["index_reset"] = sql["index_write_read"]
     sql["knn_join_grid"] = sql["knn_join"]
     sql["chunk_udf"] = sql["chunk_documents"]

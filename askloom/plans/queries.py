@@ -40,10 +40,13 @@ def query(run: Query) -> Query:
 
 @query
 def json_document_scan(spark, sf_dir):
+    """Files that each hold one JSON array over many lines, of some hundred objects."""
     path = scratch_path(spark, "json")
     source = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    writers = spark.sparkContext.defaultParallelism
-    source.repartition(writers).write.option("maxRecordsPerFile", 1).option("pretty", True).json(path)
+    one = F.to_json(F.struct(*source.columns), {"pretty": "true"})
+    file = F.floor(F.col("doc_id") / 256)
+    arrays = source.groupBy(file.alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return docs.load_json(spark, path, source.schema)
 
 
@@ -150,17 +153,22 @@ def _flat_hits(hits: DataFrame) -> DataFrame:
     )
 
 
+def _found_documents(spark, sf_dir) -> DataFrame:
+    _, near = _near(spark, sf_dir)
+    hits = near.select(
+        "question_id", "rank", "text", "chunk_id", F.col("metadata")["source"].alias("source"), "distance"
+    )
+    return retrieval.to_documents(hits, keep=("question_id", "rank"))
+
+
 @query
 def results_to_documents(spark, sf_dir):
-    hits = _self_search(spark, sf_dir).select(
-        "question_id", "rank", F.col("vec_id").cast("string").alias("name"), "label", "distance"
-    )
-    made = retrieval.to_documents(hits, keep=("question_id", "rank"))
-    return made.select(
+    return _found_documents(spark, sf_dir).select(
         "question_id",
         "rank",
         "page_content",
-        F.col("metadata")["label"].alias("label"),
+        F.col("metadata")["chunk_id"].alias("chunk_id"),
+        F.col("metadata")["source"].alias("source"),
         F.size("metadata").alias("n_metadata"),
         F.round("score", 6).alias("score"),
     )
@@ -168,28 +176,27 @@ def results_to_documents(spark, sf_dir):
 
 @query
 def response_documents(spark, sf_dir):
-    vectors = fx.table(spark, sf_dir, "embeddings")
-    names = ("vec_id", "label", "score")
+    """Each question's search result as one response of k rows, and back."""
+    _, near = _near(spark, sf_dir)
+    names = ("chunk_id", "source", "score")
     cells = F.array(
-        F.col("vec_id").cast("string"),
-        F.col("label").cast("string"),
-        F.round(F.element_at("embedding", 1).cast("double"), 6).cast("string"),
+        F.col("chunk_id"), F.col("metadata")["source"], F.round("distance", 6).cast("string")
     )
+    rows = near.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", cells.alias("cells")))).alias("rows"))
     body = F.to_json(
         F.struct(
             F.struct(
                 F.array(*[F.struct(F.lit(n).alias("name")) for n in names]).alias("columns")
             ).alias("manifest"),
-            F.struct(F.array(cells).alias("data_array")).alias("result"),
+            F.struct(F.transform("rows", lambda r: r["cells"]).alias("data_array")).alias("result"),
         )
     )
-    responses = vectors.select("vec_id", body.alias("body"))
-    made = retrieval.documents_from_responses(responses, "body", ("vec_id",))
+    made = retrieval.documents_from_responses(rows.select("question_id", body.alias("body")), "body", ("question_id",))
     return made.select(
-        "vec_id",
+        "question_id",
         "rank",
         "page_content",
-        F.col("metadata")["label"].alias("label"),
+        F.col("metadata")["source"].alias("source"),
         F.size("metadata").alias("n_metadata"),
         "score",
     )
@@ -197,11 +204,7 @@ def response_documents(spark, sf_dir):
 
 @query
 def content_only_documents(spark, sf_dir):
-    hits = _self_search(spark, sf_dir).select(
-        "question_id", "rank", F.col("vec_id").cast("string").alias("name"), "label", "distance"
-    )
-    made = retrieval.to_documents(hits, keep=("question_id", "rank"))
-    return retrieval.content_only(made, keep=("question_id", "rank"))
+    return retrieval.content_only(_found_documents(spark, sf_dir), keep=("question_id", "rank"))
 
 
 @query
@@ -271,6 +274,15 @@ def knn_join_grid(spark, sf_dir):
     return _flat_hits(_self_search(spark, sf_dir, broadcast_bytes=64 * 1024))
 
 
+@query
+def knn_join_doubled(spark, sf_dir):
+    """The same search over an index that holds every row twice: a key is one neighbour."""
+    vectors = fx.table(spark, sf_dir, "embeddings")
+    asked = vectors.select(F.col("vec_id").alias("question_id"), "embedding")
+    doubled = index.append_index(vectors, vectors)
+    return _flat_hits(retrieval.knn(asked, doubled, fx.K, index_key="vec_id", exclude_same_id=True))
+
+
 @query
 def keep_unanswered(spark, sf_dir):
     made = fx.made_answers(spark, sf_dir)
@@ -362,8 +374,8 @@ def head_rows(spark, sf_dir):
 
 @query
 def index_merge(spark, sf_dir):
-    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return index.append_index(vectors, vectors.withColumn("label", F.col("label") + 100))
+    vectors = fx.table(spark, sf_dir, "embeddings")
+    return _index_rows(index.append_index(vectors, vectors.withColumn("label", F.col("label") + 100)))
 
 
 @query
@@ -500,7 +512,7 @@ def build_prompt_query(spark, sf_dir):
 @query
 def expand_abbreviations_query(spark, sf_dir):
     odd = F.col("turn") % 2 == 1
-    question = F.concat(F.when(odd, F.lit("An udf for ML? ")).otherwise(F.lit("HTML and ml: ")), "text")
+    question = F.concat(F.when(odd, F.lit("An rpm for MPH? ")).otherwise(F.lit("WRPM and rpm: ")), "text")
     return fx.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", expand_abbreviations(question).alias("question")
     )
@@ -559,8 +571,7 @@ def split_sql_scripts(spark, sf_dir):
 # Streaming
 
 
-@query
-def stream_index_sync(spark, sf_dir):
+def _streamed_log(spark, sf_dir) -> DataFrame:
     changes = fx.versioned_documents(spark, sf_dir).withColumn("op", F.lit("insert"))
     changes = changes.unionByName(fx.document_changes(spark, sf_dir))
     source, path = scratch_path(spark, "changes"), scratch_path(spark, "index")
@@ -577,10 +588,38 @@ def stream_index_sync(spark, sf_dir):
         embedder=hashed_embedding(fx.DIM),
         max_files_per_trigger=FILES // 2,
     ).awaitTermination()
-    state = sync.current_index(index_store.load_index(spark, path))
+    return index_store.load_index(spark, path)
+
+
+@query
+def stream_index_sync(spark, sf_dir):
+    state = sync.current_index(_streamed_log(spark, sf_dir))
     return state.select("doc_id", "version", "chunk_id", "text")
 
 
+@query
+def stream_index_compact(spark, sf_dir):
+    """Fold the log, store it, and read the state from what is left and the first half of the log again."""
+    log, path = _streamed_log(spark, sf_dir), scratch_path(spark, "compacted")
+    index_store.save_index(sync.compact_log(log), path)
+    late = log.filter(F.col("doc_id") % 2 == 0)
+    state = sync.current_index(index_store.load_index(spark, path).unionByName(late))
+    return state.select("doc_id", "version", "chunk_id", "text")
+
+
+@query
+def stream_index_answers(spark, sf_dir):
+    """From changed documents over the followed index to answers, by its own metadata."""
+    return _flat_answers(
+        answering.batch_predict(
+            fx.questions(spark, sf_dir),
+            sync.current_index(_streamed_log(spark, sf_dir)),
+            hashed_embedding(fx.DIM),
+            fx.K,
+        )
+    )
+
+
 # Model calls and the answer flow
 
 

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,13 +68,33 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder.
 
-    Everything one application stores lies in one subfolder named after it,
-    which may be removed once the application has ended.
+    Everything one application stores lies in one subfolder named after it;
+    ``drop_scratch`` removes it.
     """
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove everything this application stored below the shared folder.
+
+    For a long-lived application between its jobs, and for any at its end: DataFrames that read stored
+    tables cannot be used afterwards.
+    """
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{context.applicationId}")
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Stored tables live as long as the block: write or collect results inside it."""
+    try:
+        yield
+    finally:
+        drop_scratch(spark)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once below the shared folder and read it back.
 

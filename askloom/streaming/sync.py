@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from askloom.functions.vectors import hashed_embedding
 from askloom.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, with_chunks
-from askloom.operators.embedding import Embedder, embed
+from askloom.operators.embedding import Embedder, add_metadata, embed
 from askloom.operators.index import content_hash
 
 CHANGE_HASH = "change_hash"
@@ -27,11 +27,11 @@ def index_changes(
     """Changed documents to index log rows; a delete (or a chunkless text) keeps one marker row.
 
     Narrow and stateless, so it runs the same on a stream and on a table. Every
-    row carries the content hash of its change.
+    row carries the content hash of its change, and ``metadata``, a map of its other columns.
     """
-    kept = [c for c in changes.columns if c != text] + [CHANGE_HASH]
-    live = F.when(F.col(op_col) != "delete", F.col(text))
-    hashed = changes.withColumn(CHANGE_HASH, content_hash(changes))
+    hashed = add_metadata(changes.withColumn(CHANGE_HASH, content_hash(changes)), (text, op_col, CHANGE_HASH))
+    kept = [c for c in hashed.columns if c != text]
+    live = F.when(~F.col(op_col).eqNullSafe("delete"), F.col(text))
     cut = with_chunks(hashed.withColumn(text, live), text, size, overlap)
     rows = cut.select(*kept, F.posexplode_outer("chunks").alias("chunk_no", text))
     named = rows.withColumn(
@@ -76,15 +76,14 @@ def sync_stream(
     )
 
 
-def current_index(
-    log: DataFrame, key: str = "doc_id", version: str = "version", op_col: str = "op"
-) -> DataFrame:
-    """The index a log stands for: the chunks of each key's last version, deletes left out.
+def compact_log(log: DataFrame, key: str = "doc_id", version: str = "version") -> DataFrame:
+    """The log rows of each key's last change, deletes as their marker rows: a shorter log of the same state.
 
-    Two different changes under one version are settled by content hash, and a
-    change delivered twice counts once. Versions are reduced per task before
-    their shuffle, one row per change. The join back is an equi-join that Spark
-    may split when one key holds much of the log.
+    Written to a new folder it replaces the log, and later changes may follow it: older versions that
+    still arrive lose against the rows it keeps. Two different changes under one version are settled by
+    content hash, and a change delivered twice counts once. Versions are reduced per task before their
+    shuffle, one row per change, and no text or vector enters an aggregate. The join back is an
+    equi-join that Spark may split when one key holds much of the log.
     """
     last = (
         log.filter(F.coalesce(F.col("chunk_no"), F.lit(0)) == 0)
@@ -92,9 +91,18 @@ def current_index(
         .agg(F.max(F.struct(version, CHANGE_HASH)).alias("_last"))
         .select(key, f"_last.{version}", f"_last.{CHANGE_HASH}")
     )
-    alive = log.filter((F.col(op_col) != "delete") & F.col("chunk_id").isNotNull())
     same = [key, version, CHANGE_HASH]
-    return alive.join(last, same).dropDuplicates([*same, "chunk_id"]).drop(op_col, CHANGE_HASH)
+    one = Window.partitionBy(*same, "chunk_no").orderBy("chunk_id")
+    kept = log.join(last, same).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    return kept.select(*log.columns)
+
+
+def current_index(
+    log: DataFrame, key: str = "doc_id", version: str = "version", op_col: str = "op"
+) -> DataFrame:
+    """The index a log stands for: the chunks of each key's last change, deletes left out."""
+    alive = ~F.col(op_col).eqNullSafe("delete") & F.col("chunk_id").isNotNull()
+    return compact_log(log, key, version).filter(alive).drop(op_col, CHANGE_HASH)
 
 
 def build_incremental(
@@ -110,6 +118,8 @@ def build_incremental(
 ) -> StreamingQuery:
     """Embed a folder of chunk files batch by batch and append each batch to the index, then stop.
 
+    Each row gets ``metadata``, a map of its columns other than the text, unless it has one.
+
     The first batch creates the index; a later run picks up only new files.
     ``max_files_per_trigger`` sets the pace for rate-limited models.
     """
@@ -119,7 +129,7 @@ def build_incremental(
         .parquet(chunk_dir)
     )
     return (
-        embed(chunks, text, embedder)
+        embed(add_metadata(chunks, (text,)), text, embedder)
         .writeStream.format("parquet")
         .option("path", index_path)
         .option("checkpointLocation", checkpoint)

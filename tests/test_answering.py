@@ -96,7 +96,8 @@ def test_abbreviations(spark):
         None,
         "MLs ML (Machine Learning).",
     ]
-    assert applied(column(spark, asked), expand_abbreviations("c")) == want
+    pairs = {"ML": "Machine Learning", "UDF": "User Defined Function"}
+    assert applied(column(spark, asked), expand_abbreviations("c", pairs)) == want
     odd = expand_abbreviations("c", {"C": "$1\\x"})
     assert applied(column(spark, ["a c"]), odd) == ["a C ($1\\x)"]
 

@@ -68,15 +68,48 @@ def test_equals_brute_force_with_many_ties(spark, asked, index, k, metric):
 def test_both_ways_equal_brute_force(spark, metric, broadcast_bytes, monkeypatch):
     import askloom.operators.retrieval as retrieval
 
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 50 * 8 * 5)
     rng = np.random.default_rng(3)
     asked, index = rng.normal(size=(23, 5)), rng.normal(size=(211, 5))
     q, i = table(spark, asked, "question_id"), table(spark, index, "chunk_id").repartition(5)
-    hits, small = nearest(q, i, 4, metric, broadcast_bytes=broadcast_bytes)
-    assert small == (broadcast_bytes > 100_000)
+    hits = nearest(q, i, 4, metric, broadcast_bytes=broadcast_bytes)
     assert found(hits) == brute(asked, index, 4, metric)
 
 
+def test_no_index_vector_is_shuffled(spark):
+    rng = np.random.default_rng(5)
+    q, i = table(spark, rng.normal(size=(40, 4)), "question_id"), table(spark, rng.normal(size=(90, 4)), "chunk_id")
+    plan = nearest(q, i, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "CoGroup" not in plan
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in below
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 500])
+def test_a_repeated_key_is_one_neighbour(spark, broadcast_bytes, monkeypatch):
+    import askloom.operators.retrieval as retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 7 * 8 * 2)
+    rng = np.random.default_rng(6)
+    asked, index = rng.integers(-4, 4, (9, 2)), rng.integers(-4, 4, (40, 2))
+    q, one = table(spark, asked, "question_id"), table(spark, index, "chunk_id").withColumn("label", F.lit("old"))
+    far = one.select("chunk_id", F.array(F.lit(90.0), F.lit(90.0)).alias("embedding"), F.lit("new").alias("label"))
+    many = one.union(one).union(far).repartition(3)
+    rows = knn(q, many, 3, broadcast_bytes=broadcast_bytes)
+    assert rows.count() == 27
+    assert found(rows) == brute(asked, index, 3, "l2sq")
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf")])
+def test_a_vector_that_is_not_finite_comes_last_and_harms_no_other(spark, odd):
+    rng = np.random.default_rng(7)
+    index = 1e8 + rng.normal(size=(120, 3)) * 1e-3
+    asked = 1e8 + rng.normal(size=(8, 3)) * 1e-3
+    q, i = table(spark, asked, "question_id"), table(spark, [*index, [odd, 0, 0]], "chunk_id").coalesce(1)
+    assert found(knn(q, i, 5, payload=())) == brute(asked, index, 5, "l2sq")
+    assert {r.chunk_id for r in knn(q, i, 121, payload=()).where("rank = 121").collect()} == {120}
+
+
 def test_more_neighbours_hold_fewer(spark):
     rng = np.random.default_rng(4)
     q = table(spark, rng.normal(size=(6, 4)), "question_id")
