@@ -4,6 +4,31 @@ from askloom.llm.line_dedup import MIN_PAGES, RATIO
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_substring_dedup"] = r"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), runs AS (
+  SELECT row_id, doc_id, list_transform(range(0, greatest(len(ws) - 12, 0)),
+    lambda p: array_to_string(ws[p + 1:p + 13], ' ')) AS rs FROM texts
+), keyed AS (
+  SELECT row_id, doc_id, unnest(rs) AS run, generate_subscripts(rs, 1) - 1 AS place FROM runs
+), firsts AS (
+  SELECT run, min(doc_id) AS first_id FROM keyed GROUP BY run
+), gone AS (
+  SELECT DISTINCT row_id, unnest(range(place, place + 13)) AS place
+  FROM keyed JOIN firsts USING (run) WHERE first_id < doc_id
+), words AS (
+  SELECT row_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM texts
+), kept AS (
+  SELECT row_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS kept_text
+  FROM words ANTI JOIN gone USING (row_id, place) GROUP BY row_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row_id)
+"""
+
 ORACLES["op7_line_dedup"] = rf"""
 WITH texts AS (
   SELECT page_id, html,
