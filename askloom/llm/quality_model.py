@@ -136,21 +136,33 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(parts)) == part
 
 
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [batch for batch in batches if batch.num_rows]
+    if rows:
+        table = pa.Table.from_batches(rows).sort_by("doc_id").combine_chunks()
+        texts = pa.chunked_array(table.column("text")).combine_chunks()
+        model = train(texts, table.column("quality").to_numpy().astype(np.int64))
+        parts = [x.astype("<f4").tobytes() for x in (model.vectors, model.output, model.bias)]
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], ["vectors", "output", "bias"])
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, parts: int = 5) -> Model:
     """A model learned from at most ``rows`` labelled documents outside the held-out part.
 
     The sample is the labelled ids of least hash, as long as there is a label 0 or 1. ``docs`` has
-    doc_id and text, ``labels`` doc_id and quality. Without labels every score is one half.
+    doc_id and text, ``labels`` doc_id and quality. Without labels every score is one half. One task
+    trains on the sample; only the model, a few MB, comes to the driver.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, 0))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows)
-    # At most ``rows`` ids and labels are broadcast, and as many documents come to the driver.
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = found.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
-    texts = found.column("text")
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    return train(texts, found.column("quality").to_numpy().astype(np.int64))
+    # At most ``rows`` ids and labels are broadcast, and as many documents meet in one task.
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    trained = found.repartition(1).mapInArrow(_train_task, "vectors binary, output binary, bias binary").first()
+    if trained is None:
+        return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
+    arrays = [np.frombuffer(bytes(x), "<f4") for x in trained]
+    return Model(arrays[0].reshape(BUCKETS, DIM), arrays[1].reshape(DIM, 2), arrays[2])
 
 
 def score_column(spark, model: Model, text: Column) -> Column:
@@ -158,7 +170,7 @@ def score_column(spark, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        parts = W.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")
+        parts = W.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 1 << 20)
         found = [shared.value.scores(part.column(0)) for part in parts]
         return pa.array(np.concatenate(found) if found else [], pa.float64())
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from askloom.llm import words as W
 
 WIDTH = 13
-SCREEN_BITS = 1 << 28
+SCREEN_BITS = 1 << 27
 _CHECK = 0xA0761D6478BD642F
 _KEPT = 6  # bytes of a minimizer's quotient that travel
 RUN = 32  # edges of a run that travel together
