@@ -25,6 +25,7 @@ from askloom.session import materialize
 
 SUPPORT = 0.75
 STEPS = 5
+BROADCAST_GROUPS = 10_000  # estimates of so many groups, 200 bytes each, go to every task
 MIN_GROUP = 100  # smaller sources of a language are judged together
 CUT = 120.0  # squared distance, scaled so that its median is that of a normal distribution
 _MEDIAN = 4.351  # of chi-squared with five degrees of freedom
@@ -140,11 +141,17 @@ def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([values | {"typical": typical}])
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
+def _with_groups(rows: DataFrame, table: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+    """Join a table of one row per group. Counted to be small it is broadcast, so that the rows of a hot
+    group stay spread; beyond that both sides meet by group."""
+    return rows.join(F.broadcast(table) if n_groups <= BROADCAST_GROUPS else table, "_group", how)
+
+
+def robust_estimates(rows: DataFrame, n_groups: int) -> DataFrame:
     """Per ``_group`` of ``rows`` (with x0..): location, inverse scatter, and the median squared distance."""
     middles = rows.groupBy("_group").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_N)])
     middles = materialize(middles, "middles")
-    spread = rows.join(middles, "_group").groupBy("_group", *[f"m{i}" for i in range(_N)])
+    spread = _with_groups(rows, middles, n_groups).groupBy("_group", *[f"m{i}" for i in range(_N)])
     spread = spread.agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(_N)])
     diagonal = [
         (F.lit(1.0) / (F.pow(1.4826 * F.col(f"d{i}"), 2) + floor**2) if i == j else F.lit(0.0)).alias(f"w{i}{j}")
@@ -153,7 +160,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     ]
     params = materialize(spread.select("_group", *[f"m{i}" for i in range(_N)], *diagonal), "estimates")
     for _ in range(STEPS + 1):
-        near = rows.join(params, "_group").withColumn("_d", _distance())
+        near = _with_groups(rows, params, n_groups).withColumn("_d", _distance())
         near = near.withColumn("_bin", F.floor(BINS_PER_E * F.log(F.greatest("_d", F.lit(1e-6)))))
         sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(_N)]
         sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
@@ -187,8 +194,10 @@ def judge_documents(docs: DataFrame, cut: float = CUT) -> DataFrame:
     passed = passed.drop("_source", "_language", "_size")
     passed = materialize(passed.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "vectors")
     groups = passed.groupBy("_group").agg(F.count("*").alias("_size")).where(F.col("_size") >= MIN_GROUP)
-    estimates = robust_estimates(passed.join(groups.select("_group"), "_group", "left_semi"))
-    judged = passed.join(estimates, "_group", "left")
+    groups = materialize(groups.select("_group"), "groups")
+    n_groups = groups.count()
+    estimates = robust_estimates(_with_groups(passed, groups, n_groups, "left_semi"), n_groups)
+    judged = _with_groups(passed, estimates, n_groups, "left")
     far = F.coalesce(_distance() * _MEDIAN / F.col("typical"), F.lit(0.0))
     judged = judged.withColumn("distance", far).withColumn("kept", far <= cut)
     failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
