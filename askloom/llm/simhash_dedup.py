@@ -9,6 +9,9 @@ all pairs are compared without being listed: the fingerprints lie there as 64 ve
 plane against itself moved by ``s`` places compares every member with the one ``s`` places on, 64 at
 a time. Differences go into carry-save counters that start so high that they overflow just past the
 radius, and blocks of pairs are abandoned once all have overflowed. Only a forest of links leaves a task.
+
+Groups by a Jaccard similarity use wide fingerprints in the same way, but only to find candidates: the
+sets of shingles of each candidate pair meet in a join, and what they share decides.
 """
 
 from __future__ import annotations
@@ -135,15 +138,14 @@ def _near(planes: np.ndarray, shift: int, wanted: np.ndarray, radius: int) -> np
     return at[block] * 64 + lane
 
 
-def links(bucket: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
-    """Root of each fingerprint after linking those of the same bucket within the radius.
+def _near_pairs(bucket: np.ndarray, values: np.ndarray, radius: int, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of the same bucket within the radius, some at a time, whose ``root`` differs by then.
 
-    ``bucket`` is sorted, ``values`` has a row of 64-bit numbers per fingerprint. The result holds
-    places; it is the least place of what was linked.
+    ``bucket`` is sorted, ``values`` has a row of 64-bit numbers per fingerprint. Who takes the pairs may
+    change ``root`` in place.
     """
     values = values.reshape(len(values), -1)
     n = len(values)
-    root = np.arange(n)
     ends = np.searchsorted(bucket, bucket, "right")
     inside = np.arange(n)  # the places whose buckets reach further than the present shift
     shift, limit, planes = 1, 0, None
@@ -152,43 +154,53 @@ def links(bucket: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
             sizes = ends[inside] - np.searchsorted(bucket, bucket[inside], "left")
             inside = inside[sizes > shift]
             if not len(inside):
-                return root
+                return
             planes, limit = _planes(values[inside]), 2 * shift - 1 if shift > 1 else 1
             last = np.searchsorted(bucket[inside], bucket[inside], "right")
         # planes hold one spare word, so a shift past the end meets zeros that are not wanted
         if shift >= len(inside):
-            return root
+            return
         wanted = np.arange(len(inside)) + shift < last
         wanted[:-shift] &= root[inside[:-shift]] != root[inside[shift:]]
         wanted[-shift:] = False
         if wanted.any():
             room = planes if not shift // 64 else np.pad(planes, ((0, 0), (0, shift // 64 + 1)))
             left = _near(room, shift, wanted, radius)
-            a, b = inside[left], inside[left + shift]
-            while len(a):
-                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                np.minimum.at(root, high, low)
-                while (root[root] != root).any():
-                    root = root[root]
-                apart = root[a] != root[b]
-                a, b = a[apart], b[apart]
+            if len(left):
+                yield inside[left], inside[left + shift]
         shift += 1
 
 
-def _forest(radius: int):
-    """Of rows (bucket, fingerprint, node) in bucket order: links between nodes that join what is near."""
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Link places in ``root``, which holds the least place of what is linked; the pairs that did it."""
+    used = [(a[:0], b[:0])]
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        won = np.flatnonzero((root[high] == low) & (low != high))
+        won = won[np.unique(high[won], return_index=True)[1]]
+        used.append((a[won], b[won]))
+        while (root[root] != root).any():
+            root[:] = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return tuple(np.concatenate(c) for c in zip(*used))
 
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        bucket, node = (table.column(c).to_numpy() for c in ("bucket", "node"))
-        values = table.column("fingerprint")
-        if pa.types.is_binary(values.type):
-            values = np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(bucket), -1)
-        else:
-            values = values.to_numpy().view(np.uint64)
-        root = links(bucket, values, radius)
-        joined = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], ["u", "v"])
+
+def links(bucket: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
+    """Root of each fingerprint after linking those of the same bucket within the radius.
+
+    ``bucket`` is sorted, ``values`` has a row of 64-bit numbers per fingerprint. The result holds
+    places; it is the least place of what was linked.
+    """
+    root = np.arange(len(values))
+    for a, b in _near_pairs(bucket, values, radius, root):
+        _join(root, a, b)
+    return root
+
+
+def _by_bucket(flush):
+    """Over rows in bucket order: what ``flush`` makes of some whole buckets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.RecordBatch] = []
@@ -199,17 +211,41 @@ def _forest(radius: int):
                 bucket = batch.column("bucket").to_numpy()
                 same = int(np.searchsorted(bucket, rows[-1].column("bucket")[-1].as_py(), "right"))
                 if same < batch.num_rows:
-                    yield flush([*rows, batch.slice(0, same)] if same else rows)
+                    yield from flush([*rows, batch.slice(0, same)] if same else rows)
                     rows, held, batch = [], 0, batch.slice(same)
             if batch.num_rows:
                 rows.append(batch)
                 held += batch.num_rows
         if rows:
-            yield flush(rows)
+            yield from flush(rows)
 
     return run
 
 
+def _forest(radius: int):
+    """Of rows (bucket, fingerprint, node) in bucket order: links between nodes that join what is near."""
+
+    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        bucket, node = (table.column(c).to_numpy() for c in ("bucket", "node"))
+        root = links(bucket, table.column("fingerprint").to_numpy().view(np.uint64), radius)
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], ["u", "v"])
+
+    return _by_bucket(flush)
+
+
+def _dealt(rows: DataFrame, cell: int, *columns: str) -> DataFrame:
+    """``rows`` (choice, agreed, size, fingerprint) in bucket order, buckets of over ``cell`` rows in pairs of groups."""
+    rows = rows.withColumn("groups", F.ceil(F.col("size") / F.lit(cell)).cast("long")).where("size > 1")
+    own = F.pmod(F.xxhash64("fingerprint", "agreed"), F.col("groups"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = rows.withColumn(
+        "bucket", F.xxhash64("choice", "agreed", F.least("own", "other"), F.greatest("own", "other"))
+    )
+    return rows.select("bucket", "fingerprint", *columns).repartition("bucket").sortWithinPartitions("bucket", "fingerprint")
+
+
 def near_links(nodes: DataFrame, keys, radius: int, cell: int = CELL) -> DataFrame:
     """Links (u, v) that join all nodes of a bucket whose fingerprints are within ``radius``.
 
@@ -220,15 +256,8 @@ def near_links(nodes: DataFrame, keys, radius: int, cell: int = CELL) -> DataFra
     """
     rows = nodes.select("fingerprint", "node", F.posexplode(keys).alias("choice", "agreed"))
     whole = Window.partitionBy("choice", "agreed")
-    groups = F.ceil(F.count("*").over(whole) / F.lit(cell)).cast("long")
-    rows = rows.withColumn("size", F.count("*").over(whole)).withColumn("groups", groups).where("size > 1")
-    own = F.pmod(F.xxhash64("fingerprint", "agreed"), F.col("groups"))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    rows = rows.withColumn(
-        "bucket", F.xxhash64("choice", "agreed", F.least("own", "other"), F.greatest("own", "other"))
-    )
-    dealt = rows.select("bucket", "fingerprint", "node").repartition("bucket")
-    return dealt.sortWithinPartitions("bucket", "fingerprint").mapInArrow(_forest(radius), "u long, v long")
+    dealt = _dealt(rows.withColumn("size", F.count("*").over(whole)), cell, "node")
+    return dealt.mapInArrow(_forest(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -254,8 +283,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 WIDE = 8  # 64-bit numbers of a wide fingerprint
-BANDS, BAND_BITS = 40, 16
-WIDE_RADIUS = 84  # of 512 bits: where texts of a Jaccard similarity of 0.8 lie, and some room
+BANDS, BAND_BITS = 64, 12
+SIMILAR = (4, 5)  # the least Jaccard similarity of near-duplicates, as a fraction
+WIDE_RADIUS = 110  # of 512 bits: four deviations above the mean of pairs that are just so similar
+FIRST_BANDS, FIRST_RADIUS = 8, 84  # where forests of links are looked for first
 
 
 def _bands() -> np.ndarray:
@@ -286,20 +317,86 @@ def _wide_column(text, size: int):
     return F.arrow_udf(run, "struct<fingerprint: binary, bands: array<int>>")(text)
 
 
+def _shingle_sets(text, size: int):
+    """Column of the distinct shingle hashes of ``text``."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(np.array(_shingle_hashes((t or "").encode().lower(), size), "<u8")) for t in texts.to_pylist()]
+        offsets = np.cumsum([0, *map(len, sets)])
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+
+    return F.arrow_udf(run, "array<long>")(text)
+
+
+def _pairs(radius: int, forest: bool):
+    """Of rows (bucket, fingerprint, key, known) in bucket order: keys within the radius of what is not ``known``
+    to belong together, all pairs or only a ``forest`` of them."""
+
+    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        bucket, key, known = (table.column(c).to_numpy() for c in ("bucket", "key", "known"))
+        values = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), "<u8").reshape(len(bucket), -1)
+        order = np.lexsort((known, bucket))
+        first = np.r_[True, (np.diff(bucket[order]) != 0) | (np.diff(known[order]) != 0)]
+        root = np.empty(len(bucket), np.int64)
+        root[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]  # lexsort is stable: the least place
+        for a, b in _near_pairs(bucket, values, radius, root):
+            if forest:
+                a, b = _join(root, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["u", "v"])
+
+    return _by_bucket(flush)
+
+
+def _candidates(nodes: DataFrame, bands: int, radius: int, forest: bool, cell: int = CELL) -> DataFrame:
+    """Distinct pairs (u < v) of keys of ``nodes`` (fingerprint, bands, key, known) from the first ``bands``."""
+    rows = nodes.select("fingerprint", "key", "known", F.posexplode(F.slice("bands", 1, bands)).alias("choice", "agreed"))
+    # Choices and their values are bounded by parameters, so their counts fit a broadcast.
+    sizes = rows.groupBy("choice", "agreed").agg(F.count("*").alias("size"))
+    dealt = _dealt(rows.join(F.broadcast(sizes), ["choice", "agreed"]), cell, "key", "known")
+    pairs = dealt.mapInArrow(_pairs(radius, forest), "u long, v long")
+    return materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more."""
+    ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    ends = ends.join(nodes.select("key", F.col("node").alias("doc_id"), "digest"), "key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    sets = texts.join(ends, ["doc_id", "digest"]).dropDuplicates(["key"])
+    sets = materialize(sets.select("key", _shingle_sets(F.col("text"), shingle).alias("shingles")), "shingles")
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("shingles").alias(f"{end}s")), end)
+    shared, over = F.size(F.array_intersect("us", "vs")), F.size("us") + F.size("vs")
+    least, whole = SIMILAR
+    return materialize(pairs.where(shared * (least + whole) >= over * least).select("u", "v"), "verified")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """Rows (doc_id, component_id), one per distinct id of ``docs`` (doc_id, text): near-duplicate groups.
 
-    Fingerprints of 512 bits stand for sets of shingles of five words; they link within ``radius``,
-    which is where a Jaccard similarity of 0.8 lies. So wide a radius has no exact buckets: pairs must
-    agree in one of ``BANDS`` choices of bits, which nearly all pairs within the radius do. Null and
-    empty texts are alike. Rows without an id are left out; rows of one id are one document.
+    Documents link when their sets of distinct shingles have a Jaccard similarity of ``SIMILAR`` or more.
+    Fingerprints of 512 bits find the candidates, which agree in one of ``BANDS`` choices of bits and
+    differ in ``radius`` at most; every link between different fingerprints is verified on the sets. A
+    first pass over few bands verifies forests of links, so that large groups hang together before the
+    second lists the pairs that are left between groups. Null and empty texts are alike. Rows without an
+    id are left out; rows of one id are one document.
     """
-    found = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), _wide_column(F.col("text"), shingle).alias("wide")
-    )
-    found = materialize(found.select("doc_id", "wide.*"), "fingerprints")
-    nodes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"))
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = docs.select("doc_id", F.xxhash64("text").alias("digest"), _wide_column(F.col("text"), shingle).alias("wide"))
+    found = materialize(found.select("doc_id", "digest", "wide.*"), "fingerprints")
+    nodes = found.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.min("bands").alias("bands"))
+    nodes = nodes.select("fingerprint", "bands", F.xxhash64("fingerprint").alias("key"), F.col("least.doc_id").alias("node"), "least.digest")
     nodes = materialize(nodes, "nodes")
-    joined = components(near_links(nodes, F.col("bands"), radius))
+    first = _candidates(nodes.withColumn("known", F.col("key")), FIRST_BANDS, min(FIRST_RADIUS, radius), True)
+    first = _verified(first, nodes, docs, shingle)
+    known = components(first).select(F.col("node").alias("key"), "component")
+    grouped = nodes.join(known, "key", "left").withColumn("known", F.coalesce("component", "key"))
+    rest = _verified(_candidates(grouped, BANDS, radius, False), nodes, docs, shingle)
+    pairs = first.union(rest)
+    for end in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("key").alias(end), F.col("node").alias(f"{end}n")), end)
+    joined = components(pairs.select("un", "vn"))
     classes = nodes.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     return found.join(classes, "fingerprint").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
