@@ -48,15 +48,16 @@ def _shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(flat[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
 
 
-def fingerprints(texts: list[str | None], size: int, words: int = 1) -> np.ndarray:
+def fingerprints(texts: list[str | None], size: int, words: int = 1, distinct: bool = False) -> np.ndarray:
     """The SimHash of each text, a row of ``words`` unsigned 64-bit numbers; zero without words.
 
-    The first number takes its bits from the shingles' XXH64, each further one from a scramble of it.
+    A shingle votes as often as it occurs, or once if ``distinct``. The first number takes its bits from the shingles' XXH64, each further one from a scramble of it.
     """
     out = np.zeros((len(texts), words), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for i, text in enumerate(texts):
         hashes = np.array(_shingle_hashes((text or "").encode().lower(), size), "<u8")
+        hashes = np.unique(hashes) if distinct else hashes
         for k in range(words if len(hashes) else 0):
             own = hashes if not k else W.mix(hashes ^ np.uint64(k))
             set_bits = np.zeros(64, np.int64)
@@ -302,7 +303,7 @@ def _wide_column(text, size: int):
     def run(texts: pa.Array) -> pa.Array:
         prints, keys = [], []
         for part in W.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
-            values = fingerprints(part.column(0).to_pylist(), size, WIDE)
+            values = fingerprints(part.column(0).to_pylist(), size, WIDE, distinct=True)
             prints += [row.tobytes() for row in values.astype("<u8")]
             bits = np.unpackbits(values.astype("<u8").view(np.uint8), axis=1, bitorder="little")
             weights = 1 << np.arange(BAND_BITS)

@@ -250,6 +250,19 @@ def test_similar_groups_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_repeated_blocks_count_once(spark):
+    rng = random.Random(13)
+    block = " ".join(f"b{j}" for j in range(24))
+    own = [" ".join(f"o{k}x{rng.randrange(9000)}" for _ in range(104)) for k in range(3)]
+    rows = [(1, " ".join([own[0], *[block] * 10])), (2, " ".join([own[1], *[block] * 10]))]
+    rows += [(3, own[2] + " " + " ".join([block] * 2)), (4, own[2] + " " + " ".join([block] * 40))]
+    prints = simhash_dedup.fingerprints([t for _, t in rows], 5, simhash_dedup.WIDE, distinct=True)
+    assert (prints[2] == prints[3]).all()
+    assert sum(int(a ^ b).bit_count() for a, b in zip(*prints[:2])) > 150
+    got = simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(dict(rows)) == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 # Outliers
 
 
