@@ -2,7 +2,8 @@
 
 A document's statistics, transformed so that they are roughly normal, are compared with those of its
 language and source: location and scatter come from the minimum covariance determinant, and a document
-far from them by Mahalanobis distance is rejected.
+far from them by Mahalanobis distance is rejected. Estimates are over distinct vectors of statistics, so
+that copies of a text have one voice.
 
 The estimate concentrates step by step: from robust starts, each step keeps the share ``SUPPORT`` of
 a group's documents that is nearest and takes their mean and covariance. Every step is one Spark
@@ -177,7 +178,7 @@ def judge_documents(docs: DataFrame, cut: float = CUT) -> DataFrame:
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word runs. Documents that
     did not fail are compared with the others of their language and source; sources of under
     ``MIN_GROUP`` such documents with those of all small sources of their language. ``kept`` is false
-    beyond ``cut`` times the scaled squared distance. In groups that are still under ``MIN_GROUP``
+    beyond ``cut`` times the scaled squared distance. Estimates take each vector of statistics of a group once. In groups that are still under ``MIN_GROUP``
     nothing but the base rules rejects. Null languages and sources are values of their own; a null text
     has no words, so it fails.
     """
@@ -196,7 +197,8 @@ def judge_documents(docs: DataFrame, cut: float = CUT) -> DataFrame:
     groups = passed.groupBy("_group").agg(F.count("*").alias("_size")).where(F.col("_size") >= MIN_GROUP)
     groups = materialize(groups.select("_group"), "groups")
     n_groups = groups.count()
-    estimates = robust_estimates(_with_groups(passed, groups, n_groups, "left_semi"), n_groups)
+    vectors = _with_groups(passed, groups, n_groups, "left_semi").select("_group", *[f"x{i}" for i in range(_N)])
+    estimates = robust_estimates(materialize(vectors.distinct(), "distinct-vectors"), n_groups)
     judged = _with_groups(passed, estimates, n_groups, "left")
     far = F.coalesce(_distance() * _MEDIAN / F.col("typical"), F.lit(0.0))
     judged = judged.withColumn("distance", far).withColumn("kept", far <= cut)

@@ -297,6 +297,15 @@ def test_outliers(spark):
     assert outliers.judge_documents(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_outliers_of_a_source_that_is_mostly_one_text(spark):
+    rng = random.Random(14)
+    texts = [" ".join(f"word{rng.randrange(900)}" for _ in range(rng.randint(60, 300))) for _ in range(121)]
+    texts[7] = " ".join(x + "###$$$%%%" for x in texts[7].split())
+    rows = [(i, t, "en", "one", 0, "", 0, 0) for i, t in enumerate(texts + [texts[-1]] * 480)]
+    got = outliers.judge_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if not r.kept} == {7}
+
+
 # Quality classifier
 
 
