@@ -73,3 +73,66 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
 ) WHERE rank <= 10
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+    list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM whole a JOIN whole c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+def _clustering(rounds: int) -> str:
+    """Each round as two more tables: the assignment to the centroids before, and the centroids after."""
+    nearest = """
+nearest{i} AS MATERIALIZED (
+  SELECT row_id, vec_id, v, cluster, distance FROM (
+    SELECT row_id, vec_id, w.v AS v, cluster,
+      list_sum(list_transform(list_zip(w.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+    FROM whole w, centroids{i} c)
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, cluster) = 1
+)"""
+    moved = """
+centroids{j} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM centroids{i} c LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY place) AS v FROM (
+      SELECT cluster, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS mean
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM nearest{i})
+      GROUP BY cluster, place)
+    GROUP BY cluster) m USING (cluster)
+)"""
+    steps = [nearest.format(i=i) + "," + moved.format(i=i, j=i + 1) for i in range(rounds)]
+    return ",".join([*steps, nearest.format(i=rounds)])
+
+
+ORACLES["op13_orchard_clustering"] = f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v FROM whole QUALIFY cluster < 40
+), {_clustering(5)}
+SELECT vec_id, n.cluster::INT AS cluster, distance,
+  (sum(distance) OVER (PARTITION BY n.cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM nearest5 n JOIN centroids5 c ON n.cluster = c.cluster
+"""

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from askloom.llm import (
     class_lm,
+    hard_negatives,
     line_dedup,
+    orchard,
     outliers,
     packing,
     piece_codec,
@@ -113,3 +115,16 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk_search.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine_negatives(vectors, vectors.where("vec_id % 100 = 0"), positives=5, negatives=5)
+
+
+@query
+def op13_orchard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return orchard.cluster_vectors(vectors, k=40, rounds=5, length=64, seed="2")
