@@ -21,6 +21,7 @@ from askloom.llm import (
     simhash_dedup,
     substring_dedup,
     topk_search,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +125,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_negatives(vectors, vectors.where("vec_id % 100 = 0"), positives=5, negatives=5)
 
 
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.7)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op13_orchard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
