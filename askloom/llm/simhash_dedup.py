@@ -9,9 +9,6 @@ all pairs are compared without being listed: the fingerprints lie there as 64 ve
 plane against itself moved by ``s`` places compares every member with the one ``s`` places on, 64 at
 a time. Differences go into carry-save counters that start so high that they overflow just past the
 radius, and blocks of pairs are abandoned once all have overflowed. Only a forest of links leaves a task.
-
-Groups by a Jaccard similarity use wide fingerprints in the same way, but only to find candidates: the
-sets of shingles of each candidate pair meet in a join, and what they share decides.
 """
 
 from __future__ import annotations
@@ -281,123 +278,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return found.join(classes, "fingerprint", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-WIDE = 8  # 64-bit numbers of a wide fingerprint
-BANDS, BAND_BITS = 64, 12
-SIMILAR = (4, 5)  # the least Jaccard similarity of near-duplicates, as a fraction
-WIDE_RADIUS = 110  # of 512 bits: four deviations above the mean of pairs that are just so similar
-FIRST_BANDS, FIRST_RADIUS = 8, 84  # where forests of links are looked for first
-
-
-def _bands() -> np.ndarray:
-    """The bits of each band: fixed random choices out of all bits of a wide fingerprint."""
-    random = np.random.default_rng(7)
-    return np.stack([np.sort(random.choice(64 * WIDE, BAND_BITS, replace=False)) for _ in range(BANDS)])
-
-
-def _wide_column(text, size: int):
-    """Struct of the wide fingerprint of ``text`` and the value of each of its bands."""
-    bands = _bands()
-
-    def run(texts: pa.Array) -> pa.Array:
-        prints, keys = [], []
-        for part in W.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
-            values = fingerprints(part.column(0).to_pylist(), size, WIDE, distinct=True)
-            prints += [row.tobytes() for row in values.astype("<u8")]
-            bits = np.unpackbits(values.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-            weights = 1 << np.arange(BAND_BITS)
-            keys.append((bits[:, bands].astype(np.int32) * weights).sum(2).astype(np.int32))
-        flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int32)
-        offsets = np.arange(0, BANDS * len(prints) + 1, BANDS, dtype=np.int32)
-        return pa.StructArray.from_arrays(
-            [pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            ["fingerprint", "bands"],
-        )
-
-    return F.arrow_udf(run, "struct<fingerprint: binary, bands: array<int>>")(text)
-
-
-def _shingle_sets(text, size: int):
-    """Column of the distinct shingle hashes of ``text``."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        sets = [np.unique(np.array(_shingle_hashes((t or "").encode().lower(), size), "<u8")) for t in texts.to_pylist()]
-        offsets = np.cumsum([0, *map(len, sets)])
-        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-
-    return F.arrow_udf(run, "array<long>")(text)
-
-
-def _pairs(radius: int, forest: bool):
-    """Of rows (bucket, fingerprint, key, known) in bucket order: keys within the radius of what is not ``known``
-    to belong together, all pairs or only a ``forest`` of them."""
-
-    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows)
-        bucket, key, known = (table.column(c).to_numpy() for c in ("bucket", "key", "known"))
-        values = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), "<u8").reshape(len(bucket), -1)
-        order = np.lexsort((known, bucket))
-        first = np.r_[True, (np.diff(bucket[order]) != 0) | (np.diff(known[order]) != 0)]
-        root = np.empty(len(bucket), np.int64)
-        root[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]  # lexsort is stable: the least place
-        for a, b in _near_pairs(bucket, values, radius, root):
-            if forest:
-                a, b = _join(root, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["u", "v"])
-
-    return _by_bucket(flush)
-
-
-def _candidates(nodes: DataFrame, bands: int, radius: int, forest: bool, cell: int = CELL) -> DataFrame:
-    """Distinct pairs (u < v) of keys of ``nodes`` (fingerprint, bands, key, known) from the first ``bands``."""
-    rows = nodes.select("fingerprint", "key", "known", F.posexplode(F.slice("bands", 1, bands)).alias("choice", "agreed"))
-    # Choices and their values are bounded by parameters, so their counts fit a broadcast.
-    sizes = rows.groupBy("choice", "agreed").agg(F.count("*").alias("size"))
-    dealt = _dealt(rows.join(F.broadcast(sizes), ["choice", "agreed"]), cell, "key", "known")
-    pairs = dealt.mapInArrow(_pairs(radius, forest), "u long, v long")
-    return materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more."""
-    ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    ends = ends.join(nodes.select("key", F.col("node").alias("doc_id"), "digest"), "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
-    sets = texts.join(ends, ["doc_id", "digest"]).dropDuplicates(["key"])
-    sets = materialize(sets.select("key", _shingle_sets(F.col("text"), shingle).alias("shingles")), "shingles")
-    for end in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("shingles").alias(f"{end}s")), end)
-    shared, over = F.size(F.array_intersect("us", "vs")), F.size("us") + F.size("vs")
-    least, whole = SIMILAR
-    return materialize(pairs.where(shared * (least + whole) >= over * least).select("u", "v"), "verified")
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Rows (doc_id, component_id), one per distinct id of ``docs`` (doc_id, text): near-duplicate groups.
-
-    Documents link when their sets of distinct shingles have a Jaccard similarity of ``SIMILAR`` or more.
-    Fingerprints of 512 bits find the candidates, which agree in one of ``BANDS`` choices of bits and
-    differ in ``radius`` at most; every link between different fingerprints is verified on the sets. A
-    first pass over few bands verifies forests of links, so that large groups hang together before the
-    second lists the pairs that are left between groups. Null and empty texts are alike. Rows without an
-    id are left out; rows of one id are one document.
-    """
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.select("doc_id", F.xxhash64("text").alias("digest"), _wide_column(F.col("text"), shingle).alias("wide"))
-    found = materialize(found.select("doc_id", "digest", "wide.*"), "fingerprints")
-    nodes = found.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.min("bands").alias("bands"))
-    nodes = nodes.select("fingerprint", "bands", F.xxhash64("fingerprint").alias("key"), F.col("least.doc_id").alias("node"), "least.digest")
-    nodes = materialize(nodes, "nodes")
-    first = _candidates(nodes.withColumn("known", F.col("key")), FIRST_BANDS, min(FIRST_RADIUS, radius), True)
-    first = _verified(first, nodes, docs, shingle)
-    known = components(first).select(F.col("node").alias("key"), "component")
-    grouped = nodes.join(known, "key", "left").withColumn("known", F.coalesce("component", "key"))
-    rest = _verified(_candidates(grouped, BANDS, radius, False), nodes, docs, shingle)
-    pairs = first.union(rest)
-    for end in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("key").alias(end), F.col("node").alias(f"{end}n")), end)
-    joined = components(pairs.select("un", "vn"))
-    classes = nodes.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return found.join(classes, "fingerprint").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

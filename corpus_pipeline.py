@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.llm import line_dedup, packing, quality_model, simhash_dedup, substring_dedup
+from askloom.operators.index import content_hash
 from askloom.session import materialize, ship_package
 
 #: SQL cannot express a trained classifier, SimHash groups or a fitted packing plan.
@@ -30,10 +31,18 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of SimHash near-duplicates the document with the smallest id stays.
+
+    Fingerprints of three-word shingles link at two differing bits or fewer. Rows of one id are one
+    document: all its different texts stay, of rows that repeat one the row of least content hash. Rows
+    without an id belong to no group and stay.
+    """
     ship_package(spark)
-    groups = simhash_dedup.similar_groups(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(groups, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    groups = simhash_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=3, radius=2)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__hash", content_hash(docs))
+    once = Window.partitionBy("doc_id", "text").orderBy("__hash")
+    kept = kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(docs.columns)
     return kept.union(docs.where("doc_id IS NULL"))
 
 

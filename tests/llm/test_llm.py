@@ -201,71 +201,6 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {r.node: r.component for r in got} == want
 
 
-def test_similar_groups(spark):
-    rng = random.Random(2)
-    one = [f"t{rng.randrange(5000)}" for _ in range(300)]
-    near = one[:150] + ["other"] + one[151:]
-    far = [f"u{rng.randrange(5000)}" for _ in range(300)]
-    rows = [(4, " ".join(one)), (7, " ".join(near)), (9, " ".join(far)), (2, None), (3, ""), (3, "")]
-    got = simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == {4: 4, 7: 4, 9: 9, 2: 2, 3: 2}
-
-
-def shingle_set(text, size=5):
-    w = words_of((text or "").encode().lower().decode())
-    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
-
-def brute_groups(texts):
-    """Groups of ids by links of a Jaccard similarity of 0.8 or more; texts without words are alike."""
-    sets = {i: shingle_set(t) for i, t in texts.items()}
-
-    def alike(a, b):
-        return 5 * len(a & b) >= 4 * len(a | b)
-
-    return groups_of(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
-
-
-def planted_pairs():
-    """Pairs of a similarity from 0.65 to 0.9 (five in steps of a shingle or so), chains, copies and empty texts."""
-    rng = random.Random(12)
-    texts = {}
-    for k in range(240):
-        one = [f"p{k}x{rng.randrange(9000)}" for _ in range(304)]
-        gone = 16 + k % 48  # words at the end that differ, of 300 shingles as many
-        texts[10 * k] = " ".join(one)
-        texts[10 * k + 1] = " ".join(one[:-gone] + [f"q{k}x{j}" for j in range(gone)])
-        if k % 8 == 0:
-            texts[10 * k + 2] = " ".join([f"r{k}x{j}" for j in range(gone)] + texts[10 * k + 1].split()[gone:])
-        if k % 9 == 0:
-            texts[10 * k + 3] = texts[10 * k].upper()
-    return texts | {9001: None, 9002: "", 9003: "two words", 9004: "Two Words"}
-
-
-def test_similar_groups_equal_brute_force(spark):
-    texts = planted_pairs()
-    got = simhash_dedup.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
-    want = brute_groups(texts)
-    assert 100 < sum(i != c for i, c in want.items()) < len(texts) - 300
-    assert {r.doc_id: r.component_id for r in got} == want
-
-
-def test_repeated_blocks_count_once(spark):
-    rng = random.Random(13)
-    block = " ".join(f"b{j}" for j in range(24))
-    own = [" ".join(f"o{k}x{rng.randrange(9000)}" for _ in range(104)) for k in range(3)]
-    rows = [(1, " ".join([own[0], *[block] * 10])), (2, " ".join([own[1], *[block] * 10]))]
-    rows += [(3, own[2] + " " + " ".join([block] * 2)), (4, own[2] + " " + " ".join([block] * 40))]
-    prints = simhash_dedup.fingerprints([t for _, t in rows], 5, simhash_dedup.WIDE, distinct=True)
-    assert (prints[2] == prints[3]).all()
-    assert sum(int(a ^ b).bit_count() for a, b in zip(*prints[:2])) > 150
-    got = simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == brute_groups(dict(rows)) == {1: 1, 2: 2, 3: 3, 4: 3}
-
-
-# Outliers
-
-
 def test_statistics(docs, texts):
     got = {r.doc_id: r.s for r in docs.select("doc_id", outliers.statistics_column(F.col("text")).alias("s")).collect()}
     for i, text in enumerate(texts):
