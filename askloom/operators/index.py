@@ -30,17 +30,13 @@ def content_hash(df: DataFrame) -> Column:
 def latest_per_key(df: DataFrame, key: str, version: str, *then: str) -> DataFrame:
     """One row per key, the one with the highest version (then ``then``, then content hash).
 
-    Only (key, version, hash) are aggregated, so each task reduces its keys before the shuffle and a key
-    with a third of all rows is no hot spot; no text or vector enters an aggregate. The winners are
-    joined back to the rows; equal rows of a key count once.
+    One shuffle by key and no join back. Spark cuts every task's own rows to the first of each key before
+    that shuffle (its window group limit), so a key with a third of all rows is no hot spot. Rows without
+    a key are one key; a null version is the lowest.
     """
-    order = [version, *then, "_hash"]
-    rows = df.withColumn("_hash", content_hash(df))
-    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*order)).alias("_last"))
-    same = rows[key].eqNullSafe(last["_key"]) & F.struct(*order).eqNullSafe(F.col("_last"))
-    one = Window.partitionBy(key).orderBy("_hash")
-    won = rows.join(last, same).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
-    return won.select(*df.columns)
+    order = [F.col(c).desc_nulls_last() for c in (version, *then)]
+    best = Window.partitionBy(key).orderBy(*order, content_hash(df).desc())
+    return df.withColumn("__place", F.row_number().over(best)).filter("__place = 1").select(*df.columns)
 
 
 def merge_index(

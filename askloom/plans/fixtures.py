@@ -197,3 +197,14 @@ def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(digit == 5, F.array(change(-key, "insert", 1, " new")))
     )
     return table(spark, sf_dir, "documents").select(F.explode(made).alias("_c")).select("_c.*")
+
+
+def document_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of the documents: of every 97 ids one is gone, one edited, one moved, and one has a new companion."""
+    first = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rest = F.col("doc_id") % 97
+    edited = F.when(rest == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    moved = F.when(rest == 2, F.lit("elsewhere")).otherwise(F.col("source"))
+    second = first.where(rest != 0).select("doc_id", edited.alias("text"), moved.alias("source"))
+    added = first.where(rest == 3).select((-F.col("doc_id")).alias("doc_id"), "text", "source")
+    return first, second.union(added)

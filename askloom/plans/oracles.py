@@ -177,6 +177,14 @@ _DOC_STATE = """changes AS (
     )"""
 
 
+_SNAPSHOTS = """newer AS (
+      SELECT doc_id, CASE WHEN doc_id % 97 = 1 THEN text || ' edited' ELSE text END AS text,
+             CASE WHEN doc_id % 97 = 2 THEN 'elsewhere' ELSE source END AS source
+      FROM documents WHERE doc_id % 97 <> 0
+      UNION ALL SELECT -doc_id, text, source FROM documents WHERE doc_id % 97 = 3
+    )"""
+
+
 _STREAMED_ANSWERS = (
     _DOC_STATE
     + ", "
@@ -284,6 +292,12 @@ def oracles() -> dict[str, str]:
             (CASE WHEN vec_id % 3 = 2 THEN label ELSE label + 100 END)::INTEGER AS label,
             greatest(1, 2 - vec_id % 3)::INTEGER AS version FROM embeddings""",
         "index_sync_upsert": f"WITH {_DOC_STATE} SELECT * FROM state",
+        "snapshot_changes": f"""WITH {_SNAPSHOTS} SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
+              CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' ELSE 'update' END AS op,
+              2::BIGINT AS version, n.text
+            FROM documents o FULL JOIN newer n ON o.doc_id = n.doc_id
+            WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text IS DISTINCT FROM n.text OR o.source IS DISTINCT FROM n.source""",
+        "snapshot_sync": f"WITH {_SNAPSHOTS} SELECT doc_id, text, source FROM newer",
         "incremental_index_build": chunk_rows
         + f"""SELECT chunk_id, source, len(list_distinct(list_transform({_words('text')},
             lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM})))::INTEGER AS n_used_dims FROM chunks""",

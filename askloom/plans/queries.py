@@ -18,7 +18,7 @@ from askloom.functions.text import (
     validate_question,
 )
 from askloom.functions.vectors import hashed_embedding, inner_product, vector_distance
-from askloom.operators import answering, chunking, embedding, evaluation, index, retrieval, tables
+from askloom.operators import answering, chunking, embedding, evaluation, index, retrieval, snapshots, tables
 from askloom.plans import fixtures as fx
 from askloom.session import scratch_path
 from askloom.sources import documents as docs
@@ -401,6 +401,28 @@ def index_sync_upsert(spark, sf_dir):
     )
 
 
+def _two_snapshots(spark, sf_dir):
+    first, second = fx.document_snapshots(spark, sf_dir)
+    paths = [scratch_path(spark, "snapshot") for _ in range(2)]
+    for df, path in zip((first, second), paths):
+        snapshots.save_snapshot(df, path, buckets=64)
+    return first, snapshots.snapshot_changes(spark, *paths, version=2)
+
+
+@query
+def snapshot_changes(spark, sf_dir):
+    """The change feed between two snapshots of the documents."""
+    return _two_snapshots(spark, sf_dir)[1].select("doc_id", "op", "version", "text")
+
+
+@query
+def snapshot_sync(spark, sf_dir):
+    """An index of the first snapshot that follows the feed: the second snapshot."""
+    first, changes = _two_snapshots(spark, sf_dir)
+    held = first.withColumn("version", F.lit(1).cast("long"))
+    return index.apply_changes(held, changes).select("doc_id", "text", "source")
+
+
 @query
 def incremental_index_build(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir).select("chunk_id", "source", "text")

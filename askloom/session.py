@@ -75,6 +75,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reads."""
+    context = spark.sparkContext
+    file = context._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(context._jsc.hadoopConfiguration()).exists(file)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove everything this application stored below the shared folder.
 
