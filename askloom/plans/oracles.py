@@ -366,6 +366,8 @@ def oracles() -> dict[str, str]:
             FROM cleaned WHERE {_strip('body')} <> ''""",
         "stream_index_sync": f"""WITH {_DOC_STATE}, {_chunks('state', cols='doc_id, version')}
             SELECT doc_id, version, chunk_id, text FROM chunks""",
+        "stream_index_fresh": f"""WITH {_DOC_STATE}, {_chunks('state', cols='doc_id, version')}
+            SELECT doc_id, chunk_id, text FROM chunks""",
         "generate_answer": f"WITH {_MADE} SELECT question_id, rank, answer, NULL::VARCHAR AS error FROM made",
         "answer_cascade": f"WITH {_ANSWERED} SELECT * FROM answered",
         "answer_early_stop": f"""WITH {_NEAR}, tried AS (
@@ -394,6 +396,7 @@ def oracles() -> dict[str, str]:
     }
     sql["knn_join_doubled"] = sql["knn_join"]
     sql["stream_index_compact"] = sql["stream_index_sync"]
+    sql["stream_index_upsert"] = sql["stream_index_sync"]
     sql["index_reset"] = sql["index_write_read"]
     sql["knn_join_grid"] = sql["knn_join"]
     sql["chunk_udf"] = sql["chunk_documents"]

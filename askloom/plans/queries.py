@@ -593,13 +593,12 @@ def split_sql_scripts(spark, sf_dir):
 # Streaming
 
 
-def _streamed_log(spark, sf_dir) -> DataFrame:
-    changes = fx.versioned_documents(spark, sf_dir).withColumn("op", F.lit("insert"))
-    changes = changes.unionByName(fx.document_changes(spark, sf_dir))
+def _followed(follow, spark, changes, **options) -> str:
+    """The path of what ``follow`` makes of a stream over ``changes``, in two batches."""
     source, path = scratch_path(spark, "changes"), scratch_path(spark, "index")
     changes.repartition(FILES, "doc_id", "version").write.parquet(source)
     schema = T.StructType([f for f in spark.read.parquet(source).schema])
-    sync.sync_stream(
+    follow(
         spark,
         source,
         schema,
@@ -609,8 +608,18 @@ def _streamed_log(spark, sf_dir) -> DataFrame:
         overlap=fx.OVERLAP,
         embedder=hashed_embedding(fx.DIM),
         max_files_per_trigger=FILES // 2,
+        **options,
     ).awaitTermination()
-    return index_store.load_index(spark, path)
+    return path
+
+
+def _all_changes(spark, sf_dir) -> DataFrame:
+    changes = fx.versioned_documents(spark, sf_dir).withColumn("op", F.lit("insert"))
+    return changes.unionByName(fx.document_changes(spark, sf_dir))
+
+
+def _streamed_log(spark, sf_dir) -> DataFrame:
+    return index_store.load_index(spark, _followed(sync.sync_stream, spark, _all_changes(spark, sf_dir)))
 
 
 @query
@@ -629,6 +638,23 @@ def stream_index_compact(spark, sf_dir):
     return state.select("doc_id", "version", "chunk_id", "text")
 
 
+@query
+def stream_index_upsert(spark, sf_dir):
+    """The same changes merged batch by batch into a keyed table."""
+    path = _followed(upsert.upsert_stream, spark, _all_changes(spark, sf_dir), buckets=32)
+    return upsert.read_upserted(spark, path).select("doc_id", "version", "chunk_id", "text")
+
+
+@query
+def stream_index_fresh(spark, sf_dir):
+    """Changes delivered twice, and many again unchanged under a later version, past a state per key."""
+    changes = _all_changes(spark, sf_dir)
+    again = fx.versioned_documents(spark, sf_dir).where("doc_id % 10 > 5").withColumn("version", F.lit(4).cast("long"))
+    every = changes.unionByName(changes).unionByName(again.withColumn("op", F.lit("update")))
+    path = _followed(sync.sync_stream, spark, every, fresh_only=True)
+    return sync.current_index(index_store.load_index(spark, path)).select("doc_id", "chunk_id", "text")
+
+
 @query
 def stream_index_answers(spark, sf_dir):
     """From changed documents over the followed index to answers, by its own metadata."""

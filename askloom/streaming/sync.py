@@ -11,6 +11,7 @@ from askloom.functions.vectors import hashed_embedding
 from askloom.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, with_chunks
 from askloom.operators.embedding import Embedder, add_metadata, embed
 from askloom.operators.index import content_hash
+from askloom.streaming.state import fresh_changes
 
 CHANGE_HASH = "change_hash"
 
@@ -52,10 +53,14 @@ def sync_stream(
     checkpoint: str,
     *,
     max_files_per_trigger: int = 1000,
+    fresh_only: bool = False,
     **options,
 ) -> StreamingQuery:
     """Follow a folder of change files (key, op, version, text) into an index log, then stop.
 
+    ``fresh_only`` keeps a state per key (``state.fresh_changes``) before the embedder: redelivered, stale
+    and unchanged documents are neither embedded nor written again.
+
     The file sink commits each batch once, so a restart after a failure neither
     loses nor doubles rows. The log is append-only; ``current_index`` reads the
     state from it, by version and not by arrival, so late changes are harmless.
@@ -65,6 +70,9 @@ def sync_stream(
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(source_dir)
     )
+    if fresh_only:
+        names = {k: options[k] for k in ("key", "op_col") if k in options}
+        changes = fresh_changes(changes, **names)
     return (
         index_changes(changes, **options)
         .writeStream.format("parquet")
