@@ -23,7 +23,7 @@ from askloom.plans import fixtures as fx
 from askloom.session import scratch_path
 from askloom.sources import documents as docs
 from askloom.sources import index_store
-from askloom.streaming import sync
+from askloom.streaming import sync, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
