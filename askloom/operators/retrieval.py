@@ -18,6 +18,8 @@ from askloom.session import materialize
 BLOCK_BYTES = 16 * 1024 * 1024  # vectors that a task compares at once
 QUESTION_TILE = 256
 BROADCAST_BYTES = 64 * 1024 * 1024
+PRUNING_VALUES = 1000  # values that are pushed to the scan as a filter, at most
+_WANT, _TAG = "__want", "__tag"
 
 
 def topk(
@@ -201,6 +203,7 @@ def nearest(
     metric: str = "l2sq",
     *,
     where: Mapping[str, object] | None = None,
+    match: tuple[str, str] | None = None,
     question_key: str = "question_id",
     index_key: str = "chunk_id",
     vector: str = "embedding",
@@ -215,7 +218,10 @@ def nearest(
 
     The questions are looked at more than once, so computed vectors should be stored before (``retrieve``
     does). Rows without a vector can be nobody's neighbour and are left out; vectors that are not finite
-    come last. ``where`` filters the index before ranking.
+    come last. ``where`` filters the index before ranking, for all questions alike. ``match`` names a column
+    of the questions and one of the index: a question sees only index rows that hold its value, and all
+    rows if its value is null. Each block of the index is compared with the questions of the values that
+    it holds, where it lies, so a value with much of the index is shared by as many tasks as any.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -223,8 +229,9 @@ def nearest(
         raise ValueError("k must be at least 1")
     if index_key == question_key:
         raise ValueError("question and index keys need different names")
-    asked = questions.select(question_key, vector).filter(F.col(vector).isNotNull())
-    found = _filtered(index, where).select(index_key, vector).filter(F.col(vector).isNotNull())
+    wants, tags = ([F.col(c).alias(name)] for c, name in zip(match, (_WANT, _TAG))) if match else ([], [])
+    asked = questions.select(question_key, vector, *wants).filter(F.col(vector).isNotNull())
+    found = _filtered(index, where).select(index_key, vector, *tags).filter(F.col(vector).isNotNull())
     schema = T.StructType(
         [asked.schema[question_key], found.schema[index_key], T.StructField("distance", T.DoubleType())]
     )
@@ -251,18 +258,29 @@ def _search_group(
     taken: pa.Table, found: DataFrame, schema: T.StructType, k: int, metric: str, vector: str
 ) -> DataFrame:
     question_key, index_key = schema[0].name, schema[1].name
+    wants = None
+    if _TAG in found.columns:
+        kind = _arrow_schema(found.select(_TAG).schema)[0].type
+        wants = _ids(taken[_WANT].cast(kind))
+        values = wants.unique().drop_null()
+        if not wants.null_count and len(values) <= PRUNING_VALUES:
+            found = found.filter(F.col(_TAG).isin(values.to_pylist()))
     shipped = found.sparkSession.sparkContext.broadcast(
-        (_ids(taken[question_key]), _matrix(taken[vector]))
+        (_ids(taken[question_key]), _matrix(taken[vector]), wants)
     )
     arrow_schema = _arrow_schema(schema)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_ids, asked = shipped.value
+        asked_ids, asked, wants = shipped.value
+        chosen = None if wants is None else _Wants(wants)
         best = None
         for table in _in_blocks(batches, vector):
             hits = [] if best is None else [best]
-            if len(asked):
-                hits += _search_block(asked, _ids(table[index_key]), _matrix(table[vector]), k, metric)
+            pairs = [(None, table)] if chosen is None else chosen.pairs(table)
+            for own, part in pairs if len(asked) else ():
+                rows = asked if own is None else asked[own]
+                for q, ids, dist in _search_block(rows, _ids(part[index_key]), _matrix(part[vector]), k, metric):
+                    hits.append((q if own is None else own[q], ids, dist))
             if hits:
                 rows, ids, dist = zip(*hits)
                 best = _nearest_keys(np.concatenate(rows), pa.concat_arrays(ids), np.concatenate(dist), k)
@@ -273,6 +291,31 @@ def _search_group(
     return found.mapInArrow(search, schema)
 
 
+class _Wants:
+    """The questions of each wanted value."""
+
+    def __init__(self, wants: pa.Array):
+        coded = wants.dictionary_encode()
+        codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+        self.values = coded.dictionary
+        order = np.argsort(codes, kind="stable")
+        cuts = np.searchsorted(codes[order], np.arange(len(self.values) + 1))
+        self.free = order[: cuts[0]]
+        self.own = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def pairs(self, table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
+        """Questions, and the rows of a block that these see."""
+        if len(self.free):
+            yield self.free, table
+        found = pc.index_in(_ids(table[_TAG]), value_set=self.values, skip_nulls=True)
+        found = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+        order = np.argsort(found, kind="stable")
+        codes, cuts = np.unique(found[order], return_index=True)
+        for code, a, b in zip(codes.tolist(), cuts, [*cuts[1:], len(order)]):
+            if code >= 0:
+                yield self.own[code], table.take(pa.array(order[a:b]))
+
+
 def knn(
     questions: DataFrame,
     index: DataFrame,
@@ -280,6 +323,7 @@ def knn(
     metric: str = "l2sq",
     *,
     where: Mapping[str, object] | None = None,
+    match: tuple[str, str] | None = None,
     question_key: str = "question_id",
     index_key: str = "chunk_id",
     vector: str = "embedding",
@@ -302,6 +346,7 @@ def knn(
         want,
         metric,
         where=where,
+        match=match,
         question_key=question_key,
         index_key=index_key,
         vector=vector,
@@ -330,7 +375,8 @@ def retrieve(
     """
     key = options.get("question_key", "question_id")
     vector = options.get("vector", "embedding")
-    asked = questions.select(key, embedder(text).alias(vector))
+    wants = [options["match"][0]] if options.get("match") else []
+    asked = questions.select(key, embedder(text).alias(vector), *wants)
     return knn(materialize(asked, "questions"), index, k, **options)
 
 

@@ -258,6 +258,11 @@ def oracles() -> dict[str, str]:
         "eval_join": f"""WITH {_GRADED} SELECT eval_id, question, answer, correct_source, prediction,
             source, grade FROM joined""",
         "knn_join": _hits(l2_self) + _FLAT_HITS,
+        "knn_join_matched": _hits(
+            l2_self,
+            """(q.vec_id % 25 = 0 OR q.label * 3 % 10 = CASE WHEN i.label < 4 THEN 0 ELSE i.label END)""",
+        )
+        + _FLAT_HITS,
         "knn_join_cosine": _hits(_COSINE_SELF) + _FLAT_HITS,
         "knn_join_inner_product": _hits(f"-{_dot('q.v', 'i.v')}") + _FLAT_HITS,
         "keep_unanswered": f"""WITH {_MADE_ANSWERS}, best AS (

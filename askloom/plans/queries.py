@@ -283,6 +283,17 @@ def knn_join_doubled(spark, sf_dir):
     return _flat_hits(retrieval.knn(asked, doubled, fx.K, index_key="vec_id", exclude_same_id=True))
 
 
+@query
+def knn_join_matched(spark, sf_dir):
+    """Every question with a filter of its own; one value holds nearly half of the index, and some ask for all."""
+    tag = F.when(F.col("label") < 4, F.lit(0)).otherwise(F.col("label"))
+    vectors = fx.table(spark, sf_dir, "embeddings").withColumn("tag", tag)
+    want = F.when(F.col("vec_id") % 25 > 0, F.col("label") * 3 % 10)
+    asked = vectors.select(F.col("vec_id").alias("question_id"), "embedding", want.alias("want"))
+    found = retrieval.knn(asked, vectors, fx.K, match=("want", "tag"), index_key="vec_id", exclude_same_id=True)
+    return _flat_hits(found)
+
+
 @query
 def keep_unanswered(spark, sf_dir):
     made = fx.made_answers(spark, sf_dir)

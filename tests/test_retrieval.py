@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -236,3 +237,33 @@ def test_word_counts_do_not_depend_on_the_step():
     assert whole.to_pylist() == stepped.to_pylist()
     assert whole[1].as_py() is None and whole[2].as_py() == [0.0] * 8
     assert whole[4].as_py()[word_bucket("b", 8)] == 1.0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 200])
+def test_each_question_has_its_own_filter(spark, broadcast_bytes):
+    rng = random.Random(5)
+    tags = ["a"] * 60 + ["b", "c", "d", None] * 15
+    index = [(i, rng.choice(tags), [rng.uniform(-1, 1) for _ in range(3)]) for i in range(120)]
+    asked = [(i, w, [rng.uniform(-1, 1) for _ in range(3)]) for i, w in enumerate(["a", "b", None, "z", "c", "a", None, "b"])]
+    got = nearest(
+        spark.createDataFrame(asked, "question_id long, want string, embedding array<double>"),
+        spark.createDataFrame(index, "chunk_id long, client string, embedding array<double>").repartition(4),
+        4,
+        match=("want", "client"),
+        broadcast_bytes=broadcast_bytes,
+    )
+    want = {}
+    for q, w, v in asked:
+        seen = sorted((sum((x - y) ** 2 for x, y in zip(v, u)), i) for i, t, u in index if w is None or t == w)
+        want |= {(q, rank + 1): i for rank, (_, i) in enumerate(seen[:4])}
+    assert {(r.question_id, r["rank"]): r.chunk_id for r in got.collect()} == want
+    assert not any(q == 3 for q, _ in want)
+
+
+def test_wanted_values_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "index")
+    spark.createDataFrame([(i, i % 7, [float(i)]) for i in range(70)], "chunk_id long, tag int, embedding array<double>").write.parquet(path)
+    asked = spark.createDataFrame([(1, 3, [2.0]), (2, 5, [2.0])], "question_id long, want long, embedding array<double>")
+    got = nearest(asked, spark.read.parquet(path), 1, match=("want", "tag"))
+    assert {(r.question_id, r.chunk_id) for r in got.collect()} == {(1, 3), (2, 5)}
+    assert "In(tag, [3,5])" in got._jdf.queryExecution().executedPlan().toString()
