@@ -40,7 +40,7 @@ ROUNDS = 10
 LIST = "list_id"
 REST = -1  # the list of rows that have no place among centroids; every search reads it
 _TILE = 256
-_SLACK = 1e-6  # relative room for rounding; it can only cost reads
+_SLACK = 1e-6  # room for rounding, relative to distances and vectors; it can only cost reads
 
 
 def _placeable(vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +63,20 @@ def _to_centre(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - centre) ** 2).sum(1))
 
 
+def _scale(points: np.ndarray, lists: Lists) -> float:
+    """The length of the longest vector that distances are taken from."""
+    return float(np.sqrt(max((p**2).sum(1).max(initial=0) for p in (points, lists.centres))))
+
+
 def _fit(points: np.ndarray, lists: int, rounds: int) -> np.ndarray:
-    """Centroids of a sample by Lloyd's rounds; one that loses all its points stays."""
+    """Centroids of a sample by Lloyd's rounds; the first are drawn by their squared distance to those drawn before."""
     random = np.random.default_rng(0)
-    centres = points[random.choice(len(points), min(lists, len(points)), replace=False)]
+    drawn = [int(random.integers(len(points)))]
+    away = _to_centre(points, points[drawn[0]]) ** 2
+    while len(drawn) < lists and away.max() > 0:
+        drawn.append(int(random.choice(len(points), p=away / away.sum())))
+        away = np.minimum(away, _to_centre(points, points[drawn[-1]]) ** 2)
+    centres = points[drawn]
     for _ in range(rounds):
         near = np.concatenate([_distances(points[i : i + 4096], centres).argmin(1) for i in range(0, len(points), 4096)])
         order = np.argsort(near, kind="stable")
@@ -126,10 +136,11 @@ def build_lists(
     placed = placed.select(*index.columns, "_place.*").hint("rebalance", LIST)
     placed.write.mode("errorifexists").partitionBy(LIST).parquet(f"{path}/rows")
     index.limit(0).write.mode("errorifexists").parquet(f"{path}/columns")
-    stored = _stored(spark, path).groupBy(LIST).agg(
+    stored = _stored(spark, path).select(LIST, "centre_distance", F.col("_metadata.file_path").alias("file"))
+    stored = stored.groupBy(LIST).agg(
         F.count("*").alias("n_rows"),
         F.max("centre_distance").alias("radius"),
-        F.count_distinct(F.input_file_name()).alias("n_files"),
+        F.count_distinct("file").alias("n_files"),
     )
     # One row per list.
     about = {r[LIST]: r for r in stored.collect()}
@@ -151,6 +162,7 @@ class Lists:
     ids: np.ndarray
     centres: np.ndarray
     radius: np.ndarray
+    n_rows: np.ndarray
     n_files: dict[int, int]
     metric: str
 
@@ -162,8 +174,9 @@ def open_lists(spark: SparkSession, path: str) -> Lists:
     return Lists(
         _stored(spark, path),
         np.array([r[LIST] for r in own], np.int64),
-        np.array([r.centre for r in own], np.float64).reshape(len(own), -1),
+        np.array([r.centre for r in own], np.float64) if own else np.zeros((0, 0)),
         np.array([r.radius for r in own], np.float64),
+        np.array([r.n_rows for r in own], np.int64),
         {r[LIST]: r.n_files for r in table},
         table[0].metric if table else "l2sq",
     )
@@ -190,12 +203,15 @@ def _search_pass(lists: Lists, taken: pa.Table, found: DataFrame, schema, k: int
     metric = lists.metric
     matrix = _matrix(taken[vector])
     points, fine = _placeable(matrix, metric)
-    wide = high * (1 + _SLACK) + _SLACK
+    room = _SLACK * _scale(points, lists)
+    wide = high * (1 + _SLACK) + room
+    past = np.where(np.isinf(low), low, low - (np.where(np.isinf(low), 0, abs(low)) * _SLACK + room) / 2)
     needed = np.zeros(len(lists.ids), bool)
     for at in range(0, len(points), _TILE):
         part = slice(at, at + _TILE)
         away = _distances(points[part], lists.centres) if len(lists.ids) else np.zeros((len(points[part]), 0))
-        needed |= ((away <= wide[part, None] + reach * lists.radius) | ~fine[part, None] & np.isinf(high[part, None])).any(0)
+        near = (away <= wide[part, None] + reach * lists.radius) & ~(away < past[part, None])
+        needed |= (near | ~fine[part, None] & np.isinf(high[part, None])).any(0)
     first = bool((low < 0).any())
     chosen = lists.ids[needed].tolist() + [REST] * (first and REST in lists.n_files)
     about = {int(i): (c, float(r) * reach) for i, c, r in zip(lists.ids, lists.centres, lists.radius)}
@@ -246,18 +262,23 @@ def _searched(questions, lists: Lists, k: int, probes: int, exact: bool, questio
         points, fine = _placeable(_matrix(taken[vector]), lists.metric)
         if len(lists.ids) and points.shape[1] != lists.centres.shape[1]:
             raise ValueError("vectors differ in length")
-        # The distance of each question's furthest list that is searched first; all, if it has no place.
+        # The distance of each question's furthest list that is searched first: as many lists as are asked
+        # for, more if these hold fewer than k rows, and all if the question has no place.
         near = np.full(len(points), np.inf)
         if len(lists.ids) > probes:
             for at in range(0, len(points), _TILE):
                 away = _distances(points[at : at + _TILE], lists.centres)
-                near[at : at + _TILE] = np.partition(away, probes - 1, axis=1)[:, probes - 1]
-        near = np.where(fine, near * (1 + _SLACK) + _SLACK, np.inf)
+                order = np.argsort(away, axis=1)
+                enough = (np.cumsum(lists.n_rows[order], axis=1) < k).sum(1)
+                last = np.clip(enough, probes - 1, len(lists.ids) - 1)
+                near[at : at + _TILE] = np.take_along_axis(away, np.take_along_axis(order, last[:, None], 1), 1)[:, 0]
+        room = _SLACK * _scale(points, lists)
+        near = np.where(fine, near * (1 + _SLACK) + room, np.inf)
         part, chosen = _search_pass(lists, taken, found, schema, k, vector, np.full(len(points), -1.0), near, False)
         read |= chosen
         pairs = pairs.union(part)
         if exact and np.isfinite(near).any():
-            bound = _bounds(part, taken, k, question_key, lists.metric)
+            bound = _bounds(part, taken, k, question_key, lists.metric) * (1 + _SLACK) + room
             part, chosen = _search_pass(lists, taken, found, schema, k, vector, near, np.where(np.isinf(near), -1.0, bound), True)
             read |= chosen
             pairs = pairs.union(part)
@@ -272,8 +293,7 @@ def _bounds(pairs: DataFrame, taken: pa.Table, k: int, question_key: str, metric
     kth = {r[0]: r[1] for r in ranked.select(question_key, "distance").collect()}
     bound = np.array([kth.get(q, np.inf) for q in taken[question_key].to_pylist()], np.float64)
     bound = np.where(np.isnan(bound), np.inf, np.maximum(bound, 0))
-    bound = np.sqrt(2 * bound + _SLACK**2 if metric == "cosine" else bound)
-    return bound * (1 + _SLACK) + _SLACK
+    return np.sqrt(2 * bound + _SLACK**2 if metric == "cosine" else bound)
 
 
 def probe(
@@ -287,7 +307,7 @@ def probe(
     vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> Found:
-    """The k nearest rows of each question among its ``probes`` nearest lists (and more, if as near).
+    """The k nearest rows of each question among its ``probes`` nearest lists, or more if these hold fewer than k.
 
     Approximate: a neighbour in another list is missed. With as many probes as lists it is exact.
     """

@@ -399,6 +399,7 @@ def oracles() -> dict[str, str]:
             round(avg(same_as_answer::INTEGER), 6) AS accuracy,
             round(avg(find_correct_source::INTEGER), 6) AS source_rate FROM evaluated""",
     }
+    sql["topk_in_lists"] = sql["topk_retrieval"]
     sql["knn_join_doubled"] = sql["knn_join"]
     sql["stream_index_compact"] = sql["stream_index_sync"]
     sql["stream_index_upsert"] = sql["stream_index_sync"]

@@ -18,9 +18,9 @@ from askloom.functions.text import (
     validate_question,
 )
 from askloom.functions.vectors import hashed_embedding, inner_product, vector_distance
-from askloom.operators import answering, chunking, embedding, evaluation, index, retrieval, snapshots, tables
+from askloom.operators import answering, chunking, embedding, evaluation, index, lists, retrieval, snapshots, tables
 from askloom.plans import fixtures as fx
-from askloom.session import scratch_path
+from askloom.session import materialize, scratch_path
 from askloom.sources import documents as docs
 from askloom.sources import index_store
 from askloom.streaming import sync, upsert
@@ -375,6 +375,33 @@ def topk_retrieval(spark, sf_dir):
     )
 
 
+def _chunk_lists(spark, sf_dir):
+    """The chunk index by list, and the embedded questions."""
+    path = scratch_path(spark, "lists")
+    lists.build_lists(fx.chunk_index(spark, sf_dir), path, lists=64)
+    questions = fx.questions(spark, sf_dir).select("question_id", hashed_embedding(fx.DIM)("question").alias("embedding"))
+    return lists.open_lists(spark, path), materialize(questions, "questions")
+
+
+def _list_hits(opened, hits) -> DataFrame:
+    texts = opened.rows.select("chunk_id", "text").join(hits, "chunk_id")
+    return texts.select("question_id", "rank", "chunk_id", "text", F.round("distance", 6).alias("distance"))
+
+
+@query
+def topk_in_lists(spark, sf_dir):
+    """The exact search of ``topk_retrieval`` over an index by list, without the files that cannot matter."""
+    opened, questions = _chunk_lists(spark, sf_dir)
+    return _list_hits(opened, lists.nearest_in_lists(questions, opened, fx.K).hits)
+
+
+@query
+def topk_probed(spark, sf_dir):
+    """The nearest among each question's eight nearest lists: mostly the same rows."""
+    opened, questions = _chunk_lists(spark, sf_dir)
+    return _list_hits(opened, lists.probe(questions, opened, fx.K, probes=8).hits)
+
+
 @query
 def head_rows(spark, sf_dir):
     return tables.head(fx.questions(spark, sf_dir), 5, ("question_id",))
