@@ -397,9 +397,9 @@ def topk_in_lists(spark, sf_dir):
 
 @query
 def topk_probed(spark, sf_dir):
-    """The nearest among each question's eight nearest lists: mostly the same rows."""
+    """The nearest among each question's 16 nearest lists of 64: mostly the same rows."""
     opened, questions = _chunk_lists(spark, sf_dir)
-    return _list_hits(opened, lists.probe(questions, opened, fx.K, probes=8).hits)
+    return _list_hits(opened, lists.probe(questions, opened, fx.K, probes=16).hits)
 
 
 @query
