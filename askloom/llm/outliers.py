@@ -5,10 +5,15 @@ language and source: location and scatter come from the minimum covariance deter
 far from them by Mahalanobis distance is rejected. Estimates are over distinct vectors of statistics, so
 that copies of a text have one voice.
 
-The estimate concentrates step by step: from robust starts, each step keeps the share ``SUPPORT`` of
-a group's documents that is nearest and takes their mean and covariance. Every step is one Spark
-aggregate. It sums counts, vectors and products by group and by bin of the distance, so that no group
-ever meets in one task; what a group's own task sees is one row per bin.
+The estimate concentrates step by step: from each of several starts, each step keeps the share ``SUPPORT``
+of a group's documents that is nearest and takes their mean and covariance; the start that ends at the
+lowest determinant counts. Every step is one Spark aggregate for all starts. It sums counts, vectors and
+products by group and by bin of the distance, so that no group ever meets in one task; what a group's own
+task sees is one row per bin.
+
+Groups are of any size. A source's estimate is drawn towards that of its language, and that towards the
+one of all documents, by how many vectors it rests on: ``PRIOR`` vectors' worth comes from above. A
+source of two documents is judged almost as its language is, one of a million on its own.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ from askloom.session import materialize
 SUPPORT = 0.75
 STEPS = 5
 BROADCAST_GROUPS = 10_000  # estimates of so many groups, 200 bytes each, go to every task
-MIN_GROUP = 100  # smaller sources of a language are judged together
+STARTS = 3  # medians, and the means of two halves
+PRIOR = 50  # vectors that the estimate above a group's own counts as
 CUT = 120.0  # squared distance, scaled so that its median is that of a normal distribution
 _MEDIAN = 4.351  # of chi-squared with five degrees of freedom
+_LEAST_MEDIAN = 0.455  # with one: where most statistics are alike in a group, the others are not blown up
 BINS_PER_E = 16
 _FLOOR = (0.5, 0.5, 0.05, 0.2, 0.2)  # least standard deviation of each statistic
 _N = len(_FLOOR)
@@ -95,13 +102,13 @@ def statistics_column(text: Column) -> Column:
 
 
 def _vector() -> list[Column]:
-    words, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
+    words, chars = F.col("_s.n_words"), F.greatest(F.col("_s.word_chars"), F.lit(1))
     return [
         F.log1p(words),
         chars / F.greatest(words, F.lit(1)),
-        F.sqrt(F.col("n_symbols") / chars),
-        F.log1p("n_dup_lines") / F.log1p(F.greatest(words, F.lit(1))),
-        F.col("n_repeat_words") / F.greatest(words, F.lit(1)),
+        F.sqrt(F.col("_s.n_symbols") / chars),
+        F.log1p("_s.n_dup_lines") / F.log1p(F.greatest(words, F.lit(1))),
+        F.col("_s.n_repeat_words") / F.greatest(words, F.lit(1)),
     ]
 
 
@@ -112,95 +119,164 @@ def _distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-_PARAMS = ", ".join(
-    ["_group long"] + [f"m{i} double" for i in range(_N)] + [f"w{i}{j} double" for i, j in _PAIRS]
-)
+_LEVELS = ("source", "language", "all")
+_FIELDS = [f"m{i}" for i in range(_N)] + [f"w{i}{j}" for i, j in _PAIRS]
+_PARAMS = ", ".join(["_group long", "_of long", *(f"{c} double" for c in _FIELDS)])
 
 
-def _params(group: int, mean: np.ndarray, scatter: np.ndarray) -> dict:
+def _params(mean: np.ndarray, scatter: np.ndarray) -> dict:
     inverse = np.linalg.inv(scatter)
-    values = {"_group": group} | {f"m{i}": mean[i] for i in range(_N)}
-    return values | {f"w{i}{j}": inverse[i, j] for i, j in _PAIRS}
+    return {f"m{i}": mean[i] for i in range(_N)} | {f"w{i}{j}": inverse[i, j] for i, j in _PAIRS}
+
+
+def _mean_and_scatter(row) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.zeros((_N, _N))
+    for i, j in _PAIRS:
+        inverse[i, j] = inverse[j, i] = row[f"w{i}{j}"]
+    return np.array([row[f"m{i}"] for i in range(_N)]), np.linalg.inv(inverse)
 
 
 def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
-    """Location and scatter of the nearest ``SUPPORT`` of a group, from its sums by distance bin."""
+    """Location, scatter and its log determinant of the nearest ``SUPPORT`` of a group, from sums by distance bin."""
     bins = bins.sort_values("_bin")
     counts = bins["n"].to_numpy().cumsum()
-    last = int(np.searchsorted(counts, SUPPORT * counts[-1]))
-    near = bins.iloc[: last + 1]
+    near = bins.iloc[: int(np.searchsorted(counts, SUPPORT * counts[-1])) + 1]
     n = near["n"].sum()
     mean = np.array([near[f"s{i}"].sum() for i in range(_N)]) / n
     scatter = np.zeros((_N, _N))
     for i, j in _PAIRS:
         scatter[i, j] = scatter[j, i] = near[f"p{i}{j}"].sum() / n - mean[i] * mean[j]
     scatter += np.diag(np.square(_FLOOR))
-    middle = np.searchsorted(counts, 0.5 * counts[-1])
-    # The median of the present distances brings the next scatter to scale.
-    typical = np.exp((bins["_bin"].iloc[int(middle)] + 0.5) / BINS_PER_E)
-    values = _params(int(bins["_group"].iloc[0]), mean, scatter)
-    return pd.DataFrame([values | {"typical": typical}])
+    values = {"_group": int(bins["_group"].iloc[0]), "_of": int(bins["_of"].iloc[0])} | _params(mean, scatter)
+    return pd.DataFrame([values | {"det": np.linalg.slogdet(scatter)[1], "n": int(counts[-1])}])
 
 
-def _with_groups(rows: DataFrame, table: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+def _with_groups(rows: DataFrame, table: DataFrame, n_groups: int, key: str = "_group") -> DataFrame:
     """Join a table of one row per group. Counted to be small it is broadcast, so that the rows of a hot
     group stay spread; beyond that both sides meet by group."""
-    return rows.join(F.broadcast(table) if n_groups <= BROADCAST_GROUPS else table, "_group", how)
+    return rows.join(F.broadcast(table) if n_groups <= BROADCAST_GROUPS else table, key)
+
+
+def _binned(rows: DataFrame) -> DataFrame:
+    near = rows.withColumn("_d", _distance())
+    return near.withColumn("_bin", F.floor(BINS_PER_E * F.log(F.greatest("_d", F.lit(1e-6)))))
 
 
 def robust_estimates(rows: DataFrame, n_groups: int) -> DataFrame:
-    """Per ``_group`` of ``rows`` (with x0..): location, inverse scatter, and the median squared distance."""
-    middles = rows.groupBy("_group").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_N)])
+    """Per ``_group`` of ``rows`` (with x0..): location m0.., inverse scatter w00.. and number of rows n."""
+    n_groups *= STARTS
+    starts = F.explode(F.array(*[F.lit(s) for s in range(STARTS)]))
+    rows = rows.withColumnRenamed("_group", "_of").withColumn("_start", starts)
+    rows = rows.withColumn("_group", F.xxhash64("_of", "_start"))
+    xs = [f"x{i}" for i in range(_N)]
+    sums = [F.count("*").alias("n")] + [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]
+    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
+    estimate = _PARAMS + ", det double, n long"
+    # The first start: medians and median deviations. The others: means and covariances of two halves by hash.
+    first = rows.where("_start = 0")
+    middles = first.groupBy("_group").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_N)])
     middles = materialize(middles, "middles")
-    spread = _with_groups(rows, middles, n_groups).groupBy("_group", *[f"m{i}" for i in range(_N)])
+    spread = _with_groups(first, middles, n_groups).groupBy("_group", "_of", *[f"m{i}" for i in range(_N)])
     spread = spread.agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(_N)])
     diagonal = [
         (F.lit(1.0) / (F.pow(1.4826 * F.col(f"d{i}"), 2) + floor**2) if i == j else F.lit(0.0)).alias(f"w{i}{j}")
         for i, j in _PAIRS
         for floor in [_FLOOR[i]]
     ]
-    params = materialize(spread.select("_group", *[f"m{i}" for i in range(_N)], *diagonal), "estimates")
-    for _ in range(STEPS + 1):
-        near = _with_groups(rows, params, n_groups).withColumn("_d", _distance())
-        near = near.withColumn("_bin", F.floor(BINS_PER_E * F.log(F.greatest("_d", F.lit(1e-6)))))
-        sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(_N)]
-        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
-        bins = near.groupBy("_group", "_bin").agg(*sums)
-        before = params
-        params = materialize(bins.groupBy("_group").applyInPandas(_concentrate, _PARAMS + ", typical double"), "estimates")
-    # The last pass only measured: its median belongs to the estimate that went into it.
-    return before.drop("typical").join(params.select("_group", "typical"), "_group")
+    medians = spread.select("_group", "_of", *[f"m{i}" for i in range(_N)], *diagonal)
+    half = rows.where(F.col("_start") > 0).where(F.pmod(F.xxhash64(*xs), F.lit(STARTS - 1)) == F.col("_start") - 1)
+    halves = half.groupBy("_group", "_of", F.lit(0).cast("long").alias("_bin")).agg(*sums)
+    means = halves.groupBy("_group").applyInPandas(_concentrate, estimate).drop("det", "n")
+    params = materialize(medians.unionByName(means), "estimates")
+    for _ in range(STEPS):
+        bins = _binned(_with_groups(rows.drop("_of"), params, n_groups)).groupBy("_group", "_of", "_bin").agg(*sums)
+        params = materialize(bins.groupBy("_group").applyInPandas(_concentrate, estimate), "estimates")
+    best = F.min(F.struct("det", F.col("_group").alias("_tie"), "n", *_FIELDS)).alias("e")
+    return params.groupBy(F.col("_of").alias("_group")).agg(best).select("_group", "e.n", *[f"e.{c}" for c in _FIELDS])
+
+
+def _drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sources' estimates (their own and those above beside it) drawn together, all first."""
+    for rows in batches:
+        out = []
+        for row in rows.to_dict("records"):
+            mean, scatter = _mean_and_scatter({k: row[f"all_{k}"] for k in _FIELDS})
+            for level in ("language", "source"):
+                own = _mean_and_scatter({k: row[f"{level}_{k}"] for k in _FIELDS})
+                share = row[f"{level}_n"] / (row[f"{level}_n"] + PRIOR)
+                mean, scatter = share * own[0] + (1 - share) * mean, share * own[1] + (1 - share) * scatter
+            out.append({"_source": row["_source"]} | _params(mean, scatter))
+        yield pd.DataFrame(out, columns=["_source", *_FIELDS])
+
+
+def _medians(bins: pd.DataFrame) -> pd.DataFrame:
+    bins = bins.sort_values("_bin")
+    counts = bins["n"].to_numpy().cumsum()
+    middle = bins["_bin"].iloc[int(np.searchsorted(counts, 0.5 * counts[-1]))]
+    return pd.DataFrame([{"_group": int(bins["_group"].iloc[0]), "typical": (middle + 0.5) / BINS_PER_E, "n": int(counts[-1])}])
+
+
+def _above(groups: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame:
+    """Each source with the rows of ``table`` of itself, its language and all, under prefixed names."""
+    for level in _LEVELS:
+        own = table.select(F.col("_group").alias(f"_{level}"), *[F.col(c).alias(f"{level}_{c}") for c in (*fields, "n")])
+        groups = groups.join(own, f"_{level}")
+    return groups
+
+
+def group_estimates(vectors: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """Per ``_source``: location, inverse scatter, and the typical squared distance, each drawn towards what
+    is above. ``vectors`` has distinct rows of ``_source``, ``_language``, ``_all`` and x0..; ``groups``
+    the distinct first three."""
+    xs = [f"x{i}" for i in range(_N)]
+    levels = F.explode(F.array(*[f"_{level}" for level in _LEVELS])).alias("_group")
+    rows = materialize(vectors.select(levels, *xs).distinct(), "levels")
+    own = robust_estimates(rows, 3 * n_groups)
+    fields = ", ".join(f"{c} double" for c in _FIELDS)
+    drawn = _above(groups, own, _FIELDS).mapInPandas(_drawn, f"_source long, {fields}")
+    drawn = materialize(drawn, "drawn")
+    # The median of the distances brings the scatter to scale.
+    binned = _binned(_with_groups(vectors, drawn, n_groups, "_source")).select(levels, "_bin")
+    bins = binned.groupBy("_group", "_bin").agg(F.count("*").alias("n"))
+    typical = materialize(bins.groupBy("_group").applyInPandas(_medians, "_group long, typical double, n long"), "typical")
+    scale = F.col("all_typical")
+    above = _above(groups, typical, ["typical"])
+    for level in ("language", "source"):
+        share = F.col(f"{level}_n") / (F.col(f"{level}_n") + PRIOR)
+        scale = share * F.col(f"{level}_typical") + (1 - share) * scale
+    scale = F.greatest(F.exp(scale), F.lit(_LEAST_MEDIAN))
+    return drawn.join(above.select("_source", scale.alias("typical")), "_source")
 
 
 def judge_documents(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) with the base statistics, base_failed and kept.
-
-    base_failed: fewer than 50 words, or over half of the words in repeated 3-word runs. Documents that
-    did not fail are compared with the others of their language and source; sources of under
-    ``MIN_GROUP`` such documents with those of all small sources of their language. ``kept`` is false
-    beyond ``cut`` times the scaled squared distance. Estimates take each vector of statistics of a group once. In groups that are still under ``MIN_GROUP``
-    nothing but the base rules rejects. Null languages and sources are values of their own; a null text
-    has no words, so it fails.
+    """``docs`` (doc_id, text, lang, source) without the text, with the base statistics, base_failed, distance and kept.
+
+    base_failed: fewer than 50 words, or over half of the words in repeated 3-word runs. All others are
+    compared with those of their language and source, whatever their number; small groups lean on what is
+    above them. ``kept`` is false beyond ``cut`` times the scaled squared distance. Estimates take each
+    vector of statistics of a group once. Null languages and sources are values of their own; a null text
+    has no words, so it fails. Repeated rows are judged alike. Columns of the names that are added are
+    replaced; all others stay.
     """
-    rows = docs.withColumn("_s", statistics_column(F.col("text"))).drop("text")
-    rows = materialize(rows.select(*rows.drop("_s").columns, "_s.*"), "statistics")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    source = F.xxhash64(F.lit("source"), F.coalesce("lang", F.lit("")), F.col("lang").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull())
-    language = F.xxhash64(F.lit("language"), F.coalesce("lang", F.lit("")), F.col("lang").isNull())
-    passed = rows.where("NOT base_failed").withColumn("_source", source).withColumn("_language", language)
-    sizes = passed.groupBy("_source").agg(F.count("*").alias("_size"))
-    passed = passed.join(sizes, "_source")
-    passed = passed.withColumn("_group", F.when(F.col("_size") >= MIN_GROUP, F.col("_source")).otherwise(F.col("_language")))
-    passed = passed.drop("_source", "_language", "_size")
-    passed = materialize(passed.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "vectors")
-    groups = passed.groupBy("_group").agg(F.count("*").alias("_size")).where(F.col("_size") >= MIN_GROUP)
-    groups = materialize(groups.select("_group"), "groups")
+    made = [*NAMES, "base_failed", "distance", "kept"]
+    own = [c for c in docs.columns if c != "text" and c not in made]
+    failed = (F.col("_s.n_words") < 50) | (100 * F.col("_s.n_repeat_words") > 50 * F.col("_s.n_words"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
+        F.xxhash64(F.coalesce("lang", F.lit("")), F.col("lang").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("_source"),
+        F.xxhash64(F.coalesce("lang", F.lit("")), F.col("lang").isNull()).alias("_language"),
+        statistics_column(F.col("text")).alias("_s"),
+    )
+    rows = materialize(rows, "statistics").withColumn("base_failed", failed).withColumn("_all", F.lit(0).cast("long"))
+    xs = [x.alias(f"x{i}") for i, x in enumerate(_vector())]
+    judged = rows.where("NOT base_failed").select("_row", "_s", "base_failed", "_source", "_language", "_all", *xs)
+    judged = materialize(judged, "vectors")
+    vectors = materialize(judged.drop("_row", "_s", "base_failed").distinct(), "distinct-vectors")
+    groups = materialize(vectors.select("_source", "_language", "_all").distinct(), "groups")
     n_groups = groups.count()
-    vectors = _with_groups(passed, groups, n_groups, "left_semi").select("_group", *[f"x{i}" for i in range(_N)])
-    estimates = robust_estimates(materialize(vectors.distinct(), "distinct-vectors"), n_groups)
-    judged = _with_groups(passed, estimates, n_groups, "left")
-    far = F.coalesce(_distance() * _MEDIAN / F.col("typical"), F.lit(0.0))
-    judged = judged.withColumn("distance", far).withColumn("kept", far <= cut)
+    estimates = group_estimates(vectors, groups, n_groups)
+    judged = _with_groups(judged, materialize(estimates, "group-estimates"), n_groups, "_source")
+    judged = judged.withColumn("distance", _distance() * _MEDIAN / F.col("typical")).withColumn("kept", F.col("distance") <= cut)
     failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
-    return judged.select(*failed.columns).union(failed)
+    columns = [F.col(f"_row.`{c}`") for c in own] + [F.col(f"_s.{n}") for n in NAMES] + ["base_failed", "distance", "kept"]
+    return judged.select(*columns).union(failed.select(*columns))
