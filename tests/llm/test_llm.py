@@ -534,12 +534,32 @@ def test_top_k_of_nothing(spark):
 # Registration and pipeline
 
 
-def test_eleven_queries_are_registered():
+def test_fourteen_queries_are_registered():
     names = registry.queries()
-    assert [n for n in range(1, 11) if sum(x.startswith(f"op{n}_") for x in names) != 1] == []
+    assert [n for n in range(1, 14) if sum(x.startswith(f"op{n}_") for x in names) != 1] == []
     assert "pipeline" in names and set(ORACLES) <= set(names)
 
 
+COLUMNS = {
+    "op2": ["doc_id", "fingerprint", "component_id"],
+    "op3": ["doc_id", *outliers.NAMES, "base_failed", "kept"],
+    "op4": ["doc_id", "held_out", "score", "predicted"],
+    "op5": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op6": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op9": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op12": ["doc_id", "held_out", "score", "predicted"],
+}
+
+
+@pytest.mark.parametrize("op", sorted(COLUMNS))
+def test_registered_query_has_a_row_for_every_document(spark, op):
+    (run,) = (q for n, q in registry.queries().items() if n.startswith(f"{op}_"))
+    rows = run(spark, SF_DIR)
+    assert rows.columns[: len(COLUMNS[op])] == COLUMNS[op]
+    ids = [r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r.doc_id for r in rows.collect()) == sorted(ids)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     assert mismatch(registry.queries()[name](spark, SF_DIR), connect(SF_DIR), ORACLES[name]) is None
