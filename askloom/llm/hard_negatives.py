@@ -223,13 +223,18 @@ def _found(vectors: DataFrame, held: dict, k: int, name: str) -> DataFrame:
     return materialize(_merged(lists, k), f"merged-{name}")
 
 
+def _first_three(df: DataFrame) -> DataFrame:
+    named = df.toDF(*["vec_id", "label", "vector", *(f"_{i}" for i in range(3, len(df.columns)))])
+    return named.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "vector")
+
+
 def mine_negatives(
     vectors: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES
 ) -> DataFrame:
     """Rows (anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
-    Both inputs have a long id, a label (whole number) and a list of numbers, in this order, whatever
-    their names. Components become floor(256 * x), scores are inner products, ties go to the smaller id.
+    The first three columns of both inputs are a long id, a label (whole number) and a list of numbers,
+    whatever their names; further columns are not looked at. Components become floor(256 * x), scores are inner products, ties go to the smaller id.
     An anchor's positives are its ``positives`` best rows of its label, of another id; each positive's
     negatives are the ``negatives`` best rows of other labels and ids whose score is at most the
     positive's and at least ``LEAST`` of it, so a positive below zero has none. Rows whose id, label or
@@ -238,9 +243,7 @@ def mine_negatives(
     count once, and different anchors of one id are searched for each. Scores beyond 64 bits count as
     the nearest long. Empty inputs give no rows.
     """
-    vectors = vectors.toDF("vec_id", "label", "vector").selectExpr("cast(vec_id as long) vec_id", "cast(label as long) label", "vector")
-    anchors = anchors.toDF("vec_id", "label", "vector").selectExpr("cast(vec_id as long) vec_id", "cast(label as long) label", "vector")
-    anchors = anchors.dropna().distinct()
+    vectors, anchors = _first_three(vectors), _first_three(anchors).dropna().distinct()
     kept = 8 * (F.size("vector") + 3 * positives * negatives + 8)
     size = anchors.agg(F.sum(kept)).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))

@@ -156,7 +156,8 @@ def cluster_vectors(
 ) -> DataFrame:
     """Rows (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) for each usable vector.
 
-    ``vectors`` has a long id and a list of numbers, in this order, whatever their names. Vectors that are
+    The first two columns of ``vectors`` are a long id and a list of numbers, whatever their names; further
+    columns are not looked at. Vectors that are
     null, of another length, or hold a null or non-finite component take no part; nor do rows without an
     id. Components become floor(256 * x), held within ``limit``. The first centroids are the ``k`` vectors
     (all, if fewer) whose id after ``seed:`` has the least sha256, equal ids by their components. Each
@@ -166,7 +167,8 @@ def cluster_vectors(
     Without usable vectors there are no rows.
     """
     spark = vectors.sparkSession
-    vectors = vectors.toDF("vec_id", "vector").where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
+    named = vectors.toDF(*["vec_id", "vector", *(f"_{i}" for i in range(2, len(vectors.columns)))])
+    vectors = named.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "vector")
     centroids = _first(vectors, k, length, seed)
     if not len(centroids):
         shape = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"

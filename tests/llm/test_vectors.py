@@ -58,6 +58,17 @@ def test_hard_negatives(spark, monkeypatch, group, anchors_a_tile, tile):
     assert len(got) >= len(want)
 
 
+def test_further_and_clashing_columns(spark):
+    rows = [(i, i % 2, [float(i % 5), 1.0]) for i in range(12)]
+    plain = spark.createDataFrame(rows, WIDE)
+    wide = plain.selectExpr("vec_id", "label", "embedding", "label AS no", "vec_id AS shard", "label AS label", "0 AS place")
+    got, want = (hard_negatives.mine_negatives(df, df.where("vec_id < 3")) for df in (wide, plain))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    wide = plain.selectExpr("vec_id", "embedding", "label AS cluster", "label AS vec_id", "0 AS distance")
+    got, want = (orchard.cluster_vectors(df, 3, 1, 2) for df in (wide, plain.select("vec_id", "embedding")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_hard_negatives_without_rows(spark):
     empty = spark.createDataFrame([], WIDE)
     assert hard_negatives.mine_negatives(empty, empty).collect() == []
