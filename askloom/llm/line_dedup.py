@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 _UNSEEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -36,7 +36,8 @@ def drop_boilerplate(
     """``pages`` with ``kept_lines`` and ``n_dropped``: the lines that are no boilerplate of ``host``.
 
     A line goes if it stands on at least ``min_pages`` different pages of the host, and these are more
-    than ``ratio`` of the host's different pages; ``min_pages`` saves sites of a few pages. Lines are
+    than ``ratio`` of the host's different pages. The least floor is two: a line on one page is not
+    repeated, whatever its share; from there the ratio alone decides, on sites of every size. Lines are
     compared without outer spaces; blank ones stay. Null lines count as none; pages whose host is null
     or empty belong to no site and stay whole. All columns of ``pages`` are kept.
     """

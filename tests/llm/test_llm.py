@@ -376,6 +376,14 @@ def test_line_dedup(spark):
         lines = r.text.split("\n") if r.text is not None else []
         want = [x for x in lines if x.strip(" ") != "menu"] if r.url and "ite.example" in r.url else lines
         assert r.kept_lines == want and r.n_dropped == len(lines) - len(want)
+    small = [(i, "http://two.example/", f"menu\nown {i}") for i in range(2)]
+    small += [(10 + i, "http://four.example/", f"{'menu' if i < 2 else 'other'}\nown {i}\nrare {i}") for i in range(4)]
+    small += [(20, "http://one.example/", "menu\nmenu")]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(small, "page_id long, url string, text string"),
+                                      line_dedup.host_of("url"), F.split("text", "\n"))
+    kept = {r.page_id: r.kept_lines for r in got.collect()}
+    assert [kept[i] for i in range(2)] == [["own 0"], ["own 1"]] and kept[20] == ["menu", "menu"]
+    assert [kept[10 + i] for i in range(4)] == [[f"own {i}", f"rare {i}"] for i in range(4)]
     none = spark.createDataFrame([], "page_id long, url string, text string")
     assert line_dedup.drop_boilerplate(none, line_dedup.host_of("url"), F.split("text", "\n")).collect() == []
 
