@@ -1,13 +1,16 @@
 """Split long texts into overlapping token windows."""
 
+import re
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askloom.functions.text import spaced_tokens, tokens
+from askloom.functions.text import WHITESPACE, spaced_tokens, tokens
 
 CHUNK_SIZE, CHUNK_OVERLAP = 2000, 300
 
@@ -115,6 +118,97 @@ def chunk_udf(
     return F.pandas_udf(cut_batches, T.ArrayType(T.StringType()))
 
 
+def stream_windows(
+    text: str, size: int, overlap: int, drop_contained_tail: bool = False
+) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, window)`` for each token window, one at a time; places count characters.
+
+    No more than one window's tokens are held, however long the text is.
+    """
+    step = _check(size, overlap)
+    held: deque[tuple[int, int]] = deque()
+
+    def window() -> tuple[int, int, str]:
+        return held[0][0], held[-1][1], " ".join(text[a:b] for a, b in held)
+
+    first, place = True, 0
+    for gap in re.finditer(WHITESPACE + r"|\Z", text):
+        if gap.start() > place:
+            held.append((place, gap.start()))
+        place = gap.end()
+        if len(held) == size:
+            yield window()
+            first = False
+            for _ in range(step):
+                held.popleft()
+    while held and (first or not drop_contained_tail or len(held) > overlap):
+        yield window()
+        first = False
+        for _ in range(min(step, len(held))):
+            held.popleft()
+
+
+def chunk_table(
+    df: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    drop_contained_tail: bool = False,
+    batch_chars: int = 1 << 20,
+) -> DataFrame:
+    """Chunking as an Arrow table function: ``key``, ``chunk_no``, ``start``, ``end``, ``text``.
+
+    The rows of ``chunk_documents`` with each window's place in its text, in characters. The function
+    takes batches of the two columns and gives windows back in batches of about ``batch_chars``
+    characters, so a text of any length never stands beside an array of all its windows. The plan stays
+    narrow. Arrow table functions cannot stand in a lateral join, so the key travels through the function;
+    further columns join by it. A null or blank text gives no row. Where texts have many MB, set
+    ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    """
+    _check(size, overlap)
+    kind = T.StructType(
+        [
+            T.StructField(key, df.schema[key].dataType),
+            T.StructField("chunk_no", T.IntegerType()),
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+            T.StructField("text", T.StringType()),
+        ]
+    )
+    if key in kind.names[1:]:
+        raise ValueError(f"the key may not be named {key}")
+
+    class Chunks:
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            keys, texts = rows.column(0), rows.column(1)
+            places, chunks, held = [], [], 0
+
+            def batch() -> pa.RecordBatch:
+                numbers, starts, ends, windows = zip(*chunks) if chunks else ((), (), (), ())
+                columns = [
+                    keys.take(pa.array(places, pa.int32())),
+                    pa.array(numbers, pa.int32()),
+                    pa.array(starts, pa.int64()),
+                    pa.array(ends, pa.int64()),
+                    pa.array(windows, pa.string()),
+                ]
+                return pa.RecordBatch.from_arrays(columns, kind.names)
+
+            for place in range(len(texts)):
+                windows = stream_windows(texts[place].as_py() or "", size, overlap, drop_contained_tail)
+                for number, (start, end, window) in enumerate(windows):
+                    places.append(place)
+                    chunks.append((number, start, end, window))
+                    held += len(window)
+                    if held >= batch_chars:
+                        yield batch()
+                        places, chunks, held = [], [], 0
+            yield batch()
+
+    return F.arrow_udtf(Chunks, returnType=kind)(df.select(key, text).asTable())
+
+
 def metadata_map(columns: Sequence[str]) -> Column:
     """The named columns as one map from name to value, as strings."""
     pairs = [part for c in columns for part in (F.lit(c), F.col(c).cast("string"))]

@@ -406,4 +406,30 @@ def oracles() -> dict[str, str]:
     sql["index_reset"] = sql["index_write_read"]
     sql["knn_join_grid"] = sql["knn_join"]
     sql["chunk_udf"] = sql["chunk_documents"]
+    sql["index_bucketed_merge"] = sql["index_sync_upsert"]
+    sql["index_bucketed_lookup"] = """SELECT l_orderkey, l_linenumber, l_partkey AS p_partkey, p_name
+        FROM lineitem LEFT JOIN part ON l_partkey = p_partkey"""
+    sql["chunk_table"] = rf"""WITH cut AS (
+          SELECT doc_id, {_tokens('text')} AS tk,
+                 regexp_extract_all(text, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+') AS spaced FROM documents
+        ), starts AS (SELECT doc_id, tk, spaced, unnest(range(0, len(tk), {STEP})) AS s FROM cut)
+        SELECT doc_id, (s // {STEP})::INTEGER AS chunk_no,
+               length(array_to_string(spaced[:s + 1], '')) - length(tk[s + 1]) AS start,
+               length(array_to_string(spaced[:s + {SIZE}], '')) AS "end",
+               array_to_string(tk[s + 1:s + {SIZE}], ' ') AS text FROM starts"""
+    sql["embed_paced"] = """SELECT doc_id, length(text) AS chars,
+        length(text) - length(replace(text, ' ', '')) AS spaces FROM documents"""
+    sql["expand_from_table"] = rf"""WITH seen AS (
+          SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents)
+          WHERE regexp_full_match(word, '[a-z]{{2,4}}') GROUP BY word
+        ), pieces AS (
+          SELECT conv_id, turn, unnest(p) AS piece, generate_subscripts(p, 1) AS place
+          FROM (SELECT conv_id, turn,
+                  regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+') AS p FROM conversations)
+        ), joined AS (
+          SELECT conv_id, turn, string_agg(CASE WHEN n IS NULL THEN piece
+                   ELSE upper(word) || ' (seen ' || n || ')' END, '' ORDER BY place) AS text
+          FROM pieces LEFT JOIN seen ON lower(piece) = word GROUP BY conv_id, turn)
+        SELECT c.conv_id, c.turn, coalesce(j.text, c.text) AS text
+        FROM conversations c LEFT JOIN joined j ON c.conv_id = j.conv_id AND c.turn = j.turn"""
     return sql

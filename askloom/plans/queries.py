@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,13 +18,15 @@ from askloom.functions.text import (
     strip,
     text_length,
     validate_question,
+    words,
 )
-from askloom.functions.vectors import hashed_embedding, inner_product, vector_distance
-from askloom.operators import answering, chunking, embedding, evaluation, index, lists, retrieval, snapshots, tables
+from askloom.functions.vectors import hashed_embedding, inner_product, model_embedding, vector_distance
+from askloom.functions.retry import in_lanes, paced
+from askloom.operators import abbreviations, answering, chunking, embedding, evaluation, index, lists, retrieval, snapshots, tables
 from askloom.plans import fixtures as fx
 from askloom.session import materialize, scratch_path
 from askloom.sources import documents as docs
-from askloom.sources import index_store
+from askloom.sources import bucketed_index, index_store
 from askloom.streaming import sync, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,6 +443,29 @@ def index_sync_upsert(spark, sf_dir):
     )
 
 
+def _bucketed(spark, df, key):
+    name = f"index_{uuid.uuid4().hex}"
+    bucketed_index.save_bucketed(df, name, key, 16, scratch_path(spark, name))
+    return name
+
+
+@query
+def index_bucketed_merge(spark, sf_dir):
+    """U3 over a bucketed table, whose rows stay in their buckets."""
+    name = _bucketed(spark, fx.versioned_documents(spark, sf_dir), "doc_id")
+    changes = fx.document_changes(spark, sf_dir)
+    into = f"{name}_merged"
+    return bucketed_index.merge_bucketed(spark, name, into, changes, path=scratch_path(spark, into))
+
+
+@query
+def index_bucketed_lookup(spark, sf_dir):
+    """Names of the parts of all line items from a bucketed table."""
+    name = _bucketed(spark, fx.table(spark, sf_dir, "part"), "p_partkey")
+    hits = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    return bucketed_index.look_up(spark, name, hits, "p_partkey", ["p_name"])
+
+
 def _two_snapshots(spark, sf_dir):
     first, second = fx.document_snapshots(spark, sf_dir)
     paths = [scratch_path(spark, "snapshot") for _ in range(2)]
@@ -578,6 +605,17 @@ def expand_abbreviations_query(spark, sf_dir):
     )
 
 
+@query
+def expand_from_table(spark, sf_dir):
+    """Abbreviations are the short words of all documents, their full texts how often these are there."""
+    word = F.explode(words("text")).alias("word")
+    seen = fx.table(spark, sf_dir, "documents").select(word).where("word rlike '^[a-z]{2,4}$'")
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"))
+    pairs = counts.select(F.upper("word").alias("short"), F.concat(F.lit("seen "), "n").alias("full"))
+    turns = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return abbreviations.expand_from_table(turns, "text", pairs)
+
+
 @query
 def same_as_answer(spark, sf_dir):
     results = evaluation.to_results(evaluation.join_eval(*fx.graded(spark, sf_dir)))
@@ -717,6 +755,25 @@ def chunk_udf(spark, sf_dir):
     return made.select("doc_id", "chunk_no", "text")
 
 
+@query
+def chunk_table(spark, sf_dir):
+    rows = fx.documents(spark, sf_dir).select("doc_id", "text")
+    return chunking.chunk_table(rows, size=fx.SIZE, overlap=fx.OVERLAP)
+
+
+@query
+def embed_paced(spark, sf_dir):
+    """Lengths and numbers of spaces as vectors, from a model of at most 200 batches a second."""
+
+    def encode(texts):
+        return np.array([[len(t), t.count(" ")] for t in texts])
+
+    call = model_embedding(paced(encode, calls=200, seconds=1, lanes=8), 2)
+    rows = in_lanes(fx.documents(spark, sf_dir).select("doc_id", "text"), 8)
+    made = embedding.embed(rows, embedder=call)
+    return made.select("doc_id", F.col("embedding")[0].cast("long").alias("chars"), F.col("embedding")[1].cast("long").alias("spaces"))
+
+
 def _near(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     asked = fx.questions(spark, sf_dir)
     near = retrieval.retrieve(
