@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askloom.session import materialize
+
 RATIO = 0.1
 MIN_PAGES = 2
 
@@ -46,14 +48,13 @@ def drop_boilerplate(
     rows = pages.withColumn("__lines", lines).withColumn("__host", F.xxhash64(F.nullif(host, F.lit(""))))
     rows = rows.withColumn("__known", F.coalesce(host != "", F.lit(False)))
     rows = rows.withColumn("__page", F.xxhash64("__lines"))
-    site = rows.where("__known")
-    total = site.select("__host", "__page").distinct().groupBy("__host").agg(F.count("*").alias("__pages"))
-    held = site.select(
-        "__host",
-        "__page",
-        F.explode(F.array_distinct(F.transform("__lines", lambda x: F.xxhash64(F.nullif(F.trim(x), F.lit("")))))).alias("__line"),
-    ).where(F.col("__line") != F.xxhash64(F.lit(None).cast("string")))
-    held = held.distinct()
+    blank = F.xxhash64(F.lit(None).cast("string"))
+    hashes = F.array_distinct(F.transform("__lines", lambda x: F.xxhash64(F.nullif(F.trim(x), F.lit("")))))
+    site = rows.where("__known").select("__host", "__page", F.array_remove(hashes, blank).alias("__hashes"))
+    # All counts read this table, each page once and its lines as hashes, so they parse no line again.
+    site = materialize(site.groupBy("__host", "__page").agg(F.first("__hashes").alias("__hashes")), "page-lines")
+    total = site.groupBy("__host").agg(F.count("*").alias("__pages"))
+    held = site.select("__host", "__page", F.explode("__hashes").alias("__line"))
     counts = held.groupBy("__host", "__line").agg(F.count("*").alias("__with")).where(F.col("__with") >= min_pages)
     common = (
         counts.join(total, "__host").where(F.col("__with") > ratio * F.col("__pages")).select("__host", "__line")
