@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 from askloom.operators.retrieval import (
     BROADCAST_BYTES,
     _arrow_schema,
+    _Best,
     _ids,
     _in_blocks,
     _matrix,
-    _nearest_keys,
     _search_block,
     topk,
 )
@@ -220,25 +220,21 @@ def _search_pass(lists: Lists, taken: pa.Table, found: DataFrame, schema, k: int
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_ids, asked, points, fine, low, high, about = shipped.value
-        best = None
+        best = _Best(len(asked), k)
         for table in _in_blocks(batches, vector):
             number = table[LIST].to_numpy()
             order = np.argsort(number, kind="stable")
             own, cuts = np.unique(number[order], return_index=True)
-            hits = [] if best is None else [best]
+            hits = []
             for one, a, b in zip(own.tolist(), cuts, [*cuts[1:], len(order)]):
                 wants = low < 0 if one == REST else _needs(points, fine, *about[one], low, high)
                 wants = np.flatnonzero(wants)
                 if len(wants):
                     part = table.take(pa.array(order[a:b]))
-                    for q, ids, dist in _search_block(asked[wants], _ids(part[index_key]), _matrix(part[vector]), k, metric):
+                    for q, ids, dist in _search_block(asked[wants], _ids(part[index_key]), _matrix(part[vector]), k, metric, best.bound[wants]):
                         hits.append((wants[q], ids, dist))
-            if hits:
-                rows, ids, dist = zip(*hits)
-                best = _nearest_keys(np.concatenate(rows), pa.concat_arrays(ids), np.concatenate(dist), k)
-        if best is not None:
-            columns = [asked_ids.take(pa.array(best[0])), best[1], pa.array(best[2])]
-            yield from pa.Table.from_arrays(columns, schema=arrow_schema).to_batches(max_chunksize=10_000)
+            best.add(hits)
+        yield from best.batches(asked_ids, arrow_schema)
 
     kept = found.filter(F.col(LIST).isin(chosen))
     hits = materialize(kept.mapInArrow(search, schema), "hits")

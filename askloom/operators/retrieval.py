@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -15,11 +17,14 @@ from askloom.functions.vectors import METRICS
 from askloom.operators.index import content_hash
 from askloom.session import materialize
 
-BLOCK_BYTES = 16 * 1024 * 1024  # vectors that a task compares at once
-QUESTION_TILE = 256
+BLOCK_BYTES = 8 * 1024 * 1024  # vectors that a task compares at once
+QUESTION_TILE, COLUMN_TILE = 256, 4096
+PAIR_VALUES = 1_000_000  # numbers of the pairs that are measured at once
+_SINGLE = 1.2e-7  # rounding of a product or sum in single precision
+GRID_BYTES = 32 * 1024 * 1024  # question vectors that a cell of the grid holds
 BROADCAST_BYTES = 64 * 1024 * 1024
 PRUNING_VALUES = 1000  # values that are pushed to the scan as a filter, at most
-_WANT, _TAG = "__want", "__tag"
+_WANT, _TAG, _CELL, _LAST = "__want", "__tag", "__cell", "__last"
 
 
 def topk(
@@ -67,16 +72,8 @@ def _pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(dot, norms, out=np.zeros_like(dot), where=norms != 0)
 
 
-def _block_topk(
-    asked: np.ndarray, block: np.ndarray, id_rank: np.ndarray, k: int, metric: str
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact k nearest block rows for each asked vector: (asked row, block row, distance).
-
-    A matrix product finds everything within rounding error of the k-th distance;
-    only those few pairs are measured exactly. Ties go to the smaller id.
-    """
-    if asked.shape[1] != block.shape[1]:
-        raise ValueError("vectors differ in length")
+def _slow_candidates(asked: np.ndarray, block: np.ndarray, fresh: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(asked row, block row) of all pairs within rounding error of the k-th key, in doubles, for vectors of any size."""
     if metric == "cosine":
         unit_a = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
         unit_b = block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
@@ -89,23 +86,79 @@ def _block_topk(
         scale = sq_a + sq_b[np.isfinite(sq_b)].max(initial=0.0)
     rough[np.isnan(rough)] = np.inf  # last, as in Spark's order
     scale = np.nan_to_num(scale, nan=0.0, posinf=0.0)
-    if k < len(block):
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        rows, cols = np.nonzero(rough <= (kth + 1e-9 * scale)[:, None])
-    else:
-        rows, cols = (g.ravel() for g in np.indices(rough.shape))
-    step = max(1, 8_000_000 // max(1, asked.shape[1]))
-    exact = np.concatenate(
-        [
-            _pair_distance(asked[rows[i : i + step]], block[cols[i : i + step]], metric)
-            for i in range(0, len(rows), step)
-        ]
-    )
-    order = np.lexsort((id_rank[cols], exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    first = np.searchsorted(rows, np.arange(len(asked)))
-    keep = np.arange(len(rows)) - first[rows] < k
-    return rows[keep], cols[keep], exact[keep]
+    if k >= fresh.sum():
+        return tuple(g.ravel() for g in np.indices(rough.shape))
+    kth = np.partition(rough[:, fresh], k - 1, axis=1)[:, k - 1]
+    return np.nonzero(rough <= (kth + 1e-9 * scale)[:, None])
+
+
+def _plain(vectors: np.ndarray) -> bool:
+    """Whether all components are of a size that single precision can square and add up."""
+    most = np.abs(vectors).max(axis=1, initial=0.0)
+    return bool(((most == 0) | ((most > 1e-12) & (most < 1e12))).all())
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms == 0, 1, norms)
+
+
+class _Block:
+    """Index rows of a block in single precision, to tell which pairs with a question are worth measuring."""
+
+    def __init__(self, block: np.ndarray, fresh: np.ndarray, metric: str):
+        self.block, self.fresh, self.metric = block, fresh, metric
+        self.fine = _plain(block)
+        if self.fine:
+            sq = (block**2).sum(axis=1)
+            self.most = 1.0 if metric == "cosine" else float(sq.max(initial=0.0))
+            rows = _unit(block) if metric == "cosine" else block
+            rows = np.column_stack([rows, sq]) if metric == "l2sq" else rows
+            self.rows = rows.astype(np.float32)
+
+    def candidates(self, asked: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(asked row, block row) of all pairs that can be among an asked row's k nearest keys and within ``bound``.
+
+        One row of each key (``fresh``) comes first in the block, so the k-th of these is no nearer than the
+        k-th key. What lies within rounding error of that, or of ``bound``, is kept.
+        """
+        if not (self.fine and _plain(asked)):
+            return _slow_candidates(asked, self.block, self.fresh, k, self.metric)
+        sq = (asked**2).sum(axis=1)
+        if self.metric == "l2sq":
+            left, shift = np.column_stack([-2 * asked, np.ones(len(asked))]), -sq
+        elif self.metric == "ip":
+            left, shift = -asked, 0.0
+        else:
+            left, shift, sq = -_unit(asked), -1.0, 1.0
+        room = _SINGLE * (asked.shape[1] + 12) * (sq + self.most)
+        limit, left = bound + shift + room, left.astype(np.float32)
+        n_fresh, rows, cols = int(self.fresh.sum()), [], []
+        for at in range(0, len(self.rows), COLUMN_TILE):
+            rough = left @ self.rows[at : at + COLUMN_TILE].T
+            own = min(n_fresh - at, rough.shape[1])
+            if own >= k and not np.isfinite(limit).all():
+                kth = np.partition(rough[:, :own], k - 1, axis=1)[:, k - 1]
+                limit = np.minimum(limit, kth + 2 * room)
+            found = np.flatnonzero(rough <= limit.astype(np.float32)[:, None])
+            rows.append(found // rough.shape[1])
+            cols.append(found % rough.shape[1] + at)
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        if len(rows) > 1000 + len(asked) * len(self.rows) // 20:
+            # Distances that differ by less than single precision tells.
+            return _slow_candidates(asked, self.block, self.fresh, k, self.metric)
+        return rows, cols
+
+
+def _nearest_ranks(rows: np.ndarray, rank: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k nearest distinct ranks, ties to the smaller rank, in order."""
+    first = np.lexsort((dist, rank, rows))
+    fresh = np.r_[True, (np.diff(rows[first]) != 0) | (np.diff(rank[first]) != 0)][: len(first)]
+    first = first[fresh]
+    order = first[np.lexsort((rank[first], dist[first], rows[first]))]
+    ordered = rows[order]
+    begin = np.searchsorted(ordered, ordered)
+    return order[np.arange(len(order)) - begin < k]
 
 
 def _without_spare_copies(block: np.ndarray, id_rank: np.ndarray, k: int) -> np.ndarray:
@@ -125,41 +178,74 @@ def _without_spare_copies(block: np.ndarray, id_rank: np.ndarray, k: int) -> np.
     return order[place < k]
 
 
-def _search_block(
-    asked: np.ndarray, ids: pa.Array, block: np.ndarray, k: int, metric: str
-) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """(asked row, id, distance) of each asked vector's k nearest keys in the block, and maybe more rows."""
+def _id_ranks(ids: pa.Array) -> np.ndarray:
+    """The place of each id in the order of all."""
     places = pc.dictionary_encode(ids)
     order = np.asarray(pc.sort_indices(places.dictionary))
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
-    rank = rank[np.asarray(places.indices)]
+    return rank[np.asarray(places.indices)]
+
+
+def _search_block(
+    asked: np.ndarray, ids: pa.Array, block: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(asked row, id, distance) of each asked vector's k nearest keys in the block, without those past its ``bound``.
+
+    A matrix product finds everything within rounding error of the k-th distance; only those few pairs
+    are measured exactly. Ties go to the smaller id.
+    """
+    if asked.shape[1] != block.shape[1]:
+        raise ValueError("vectors differ in length")
+    rank = _id_ranks(ids)
     kept = _without_spare_copies(block, rank, k)
-    block, rank, ids = block[kept], rank[kept], ids.take(pa.array(kept))
-    # A key with several vectors may take as many places before the k-th key comes.
-    most = int(np.bincount(rank).max()) if len(rank) else 1
+    kept = kept[np.argsort(rank[kept], kind="stable")]
+    fresh = np.r_[True, np.diff(rank[kept]) != 0][: len(kept)]
+    order = np.argsort(~fresh, kind="stable")
+    kept, fresh = kept[order], fresh[order]
+    block, rank = block[kept], rank[kept]
+    held = _Block(block, fresh, metric)
+    bound = np.full(len(asked), np.inf) if bound is None else bound
+    step = max(1, PAIR_VALUES // max(1, asked.shape[1]))
     for start in range(0, len(asked), QUESTION_TILE):
-        rows, cols, dist = _block_topk(asked[start : start + QUESTION_TILE], block, rank, k * most, metric)
-        yield rows + start, ids.take(pa.array(cols)), dist
+        part = asked[start : start + QUESTION_TILE]
+        rows, cols = held.candidates(part, k, bound[start : start + QUESTION_TILE])
+        if len(rows):
+            exact = [_pair_distance(part[rows[i : i + step]], block[cols[i : i + step]], metric) for i in range(0, len(rows), step)]
+            dist = np.concatenate(exact)
+            best = _nearest_ranks(rows, rank[cols], dist, k)
+            yield rows[best] + start, ids.take(pa.array(kept[cols[best]])), dist[best]
 
 
 def _nearest_keys(rows: np.ndarray, ids: pa.Array, dist: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Of (asked row, id, distance): each row's k nearest distinct ids, ties to the smaller id."""
-    places = pc.dictionary_encode(ids)
-    order = np.asarray(pc.sort_indices(places.dictionary))
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    rank = rank[np.asarray(places.indices)]
-    first = np.lexsort((dist, rank, rows))
-    fresh = np.r_[True, (np.diff(rows[first]) != 0) | (np.diff(rank[first]) != 0)][: len(first)]
-    first = first[fresh]
-    order = first[np.lexsort((rank[first], dist[first], rows[first]))]
-    ordered = rows[order]
-    begin = np.searchsorted(ordered, ordered)
-    order = order[np.arange(len(order)) - begin < k]
+    order = _nearest_ranks(rows, _id_ranks(ids), dist, k)
     return rows[order], ids.take(pa.array(order)), dist[order]
 
 
+class _Best:
+    """The k nearest keys of every question so far."""
+
+    def __init__(self, n_asked: int, k: int):
+        self.k, self.hits = k, None
+        self.bound = np.full(n_asked, np.inf)  # the distance of the k-th key
+
+    def add(self, hits: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> None:
+        if not hits:
+            return
+        rows, ids, dist = zip(*hits, *([] if self.hits is None else [self.hits]))
+        self.hits = rows, _, dist = _nearest_keys(np.concatenate(rows), pa.concat_arrays(ids), np.concatenate(dist), self.k)
+        count = np.bincount(rows, minlength=len(self.bound))
+        full = np.flatnonzero(count == self.k)
+        last = dist[np.cumsum(count)[full] - 1]
+        self.bound[full] = np.where(np.isnan(last), np.inf, last)
+
+    def batches(self, asked_ids: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if self.hits is not None:
+            columns = [asked_ids.take(pa.array(self.hits[0])), self.hits[1], pa.array(self.hits[2])]
+            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=10_000)
+
+
 def _in_blocks(batches: Iterable[pa.RecordBatch], vector: str) -> Iterator[pa.Table]:
     """Arrow batches put together, or cut, to blocks of about ``BLOCK_BYTES`` of doubles."""
     held: list[pa.RecordBatch] = []
@@ -213,7 +299,8 @@ def nearest(
 
     A key counts once per question, by its nearest row, however often the index holds it; so a question
     gets k keys if there are so many. Nothing is paired up row by row: the index is scanned where it
-    lies, unshuffled, once for each group of questions that fits ``broadcast_bytes``. Each task compares
+    lies, unshuffled, if the questions fit ``broadcast_bytes``; more questions than that meet the index in
+    a grid of tasks (``_search_grid``) and none of them passes through the driver. Each task compares
     matrices block by block, keeps a running best k, and sends these on once; a grouped top-k merges them.
 
     The questions are looked at more than once, so computed vectors should be stored before (``retrieve``
@@ -236,19 +323,14 @@ def nearest(
         [asked.schema[question_key], found.schema[index_key], T.StructField("distance", T.DoubleType())]
     )
     count, dim = asked.agg(F.count("*"), F.max(F.size(vector))).first()
-    groups = -(-count // max(1, broadcast_bytes // (8 * ((dim or 0) + 8))))
-    if not groups:
+    if not count:
         empty = questions.sparkSession.createDataFrame([], schema)
         return topk(empty, k, question_key, ("distance", index_key))
-    if groups == 1:
+    row_bytes = 8 * ((dim or 0) + 8)
+    if count <= max(1, broadcast_bytes // row_bytes):
         pairs = _search_group(asked.toArrow(), found, schema, k, metric, vector)
     else:
-        # One group at a time is on the driver and on the executors; its few best rows are stored.
-        pairs = None
-        for group in range(groups):
-            own = asked.filter(F.pmod(F.xxhash64(question_key), F.lit(groups)) == group)
-            part = materialize(_search_group(own.toArrow(), found, schema, k, metric, vector), "hits")
-            pairs = part if pairs is None else pairs.union(part)
+        pairs = _search_grid(asked, found, schema, k, metric, vector, -(-count * row_bytes // GRID_BYTES))
     # Tasks saw other rows of a key: its nearest counts.
     pairs = pairs.groupBy(question_key, index_key).agg(F.min("distance").alias("distance"))
     return topk(pairs, k, question_key, ("distance", index_key))
@@ -271,26 +353,85 @@ def _search_group(
     arrow_schema = _arrow_schema(schema)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_ids, asked, wants = shipped.value
-        chosen = None if wants is None else _Wants(wants)
-        best = None
-        for table in _in_blocks(batches, vector):
-            hits = [] if best is None else [best]
-            pairs = [(None, table)] if chosen is None else chosen.pairs(table)
-            for own, part in pairs if len(asked) else ():
-                rows = asked if own is None else asked[own]
-                for q, ids, dist in _search_block(rows, _ids(part[index_key]), _matrix(part[vector]), k, metric):
-                    hits.append((q if own is None else own[q], ids, dist))
-            if hits:
-                rows, ids, dist = zip(*hits)
-                best = _nearest_keys(np.concatenate(rows), pa.concat_arrays(ids), np.concatenate(dist), k)
-        if best is not None:
-            columns = [asked_ids.take(pa.array(best[0])), best[1], pa.array(best[2])]
-            yield from pa.Table.from_arrays(columns, schema=arrow_schema).to_batches(max_chunksize=10_000)
+        yield from _search_batches(*shipped.value, batches, vector, index_key, k, metric, arrow_schema)
 
     return found.mapInArrow(search, schema)
 
 
+def _search_batches(
+    asked_ids: pa.Array,
+    asked: np.ndarray,
+    wants: pa.Array | None,
+    batches: Iterable[pa.RecordBatch],
+    vector: str,
+    index_key: str,
+    k: int,
+    metric: str,
+    schema: pa.Schema,
+) -> Iterator[pa.RecordBatch]:
+    """The k nearest keys of each question among the index rows of some batches."""
+    chosen = None if wants is None else _Wants(wants)
+    best = _Best(len(asked), k)
+    for table in _in_blocks(batches, vector):
+        hits = []
+        for own, part in [(slice(None), table)] if chosen is None else chosen.pairs(table):
+            places = np.arange(len(asked))[own]
+            found = _search_block(asked[own], _ids(part[index_key]), _matrix(part[vector]), k, metric, best.bound[own])
+            hits += [(places[q], ids, dist) for q, ids, dist in found]
+        best.add(hits)
+    yield from best.batches(asked_ids, schema)
+
+
+def _search_grid(
+    asked: DataFrame, found: DataFrame, schema: T.StructType, k: int, metric: str, vector: str, groups: int
+) -> DataFrame:
+    """Questions and index rows in ``groups`` or more groups each; each pair of groups meets in a task of its own.
+
+    A task holds one group of questions and goes through the index rows block by block. Repeated
+    (key, vector) rows of the index are dropped first. Each side is shuffled as often as there are groups.
+    """
+    question_key, index_key = schema[0].name, schema[1].name
+    spark = found.sparkSession
+    # Two tasks for each core at least.
+    groups = max(groups, math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    filters = _TAG in found.columns
+    if filters:
+        values = asked.select(F.col(_WANT).cast(found.schema[_TAG].dataType)).distinct().limit(PRUNING_VALUES + 1).collect()
+        if len(values) <= PRUNING_VALUES and all(v[0] is not None for v in values):
+            found = found.filter(F.col(_TAG).isin([v[0] for v in values]))
+    found = found.distinct()
+    group = F.sequence(F.lit(0), F.lit(groups - 1))
+    row, column = F.pmod(F.xxhash64(question_key, vector), F.lit(groups)), F.pmod(F.xxhash64(index_key, vector), F.lit(groups))
+
+    def placed(side: DataFrame, cell, last: int) -> DataFrame:
+        made = [F.col(n) if n in side.columns else F.lit(None).cast(kind).alias(n) for n, kind in columns.items()]
+        return side.select(F.explode(F.transform(group, cell)).alias(_CELL), F.lit(last).cast("int").alias(_LAST), *made)
+
+    columns = {question_key: schema[0].dataType, index_key: schema[1].dataType, vector: asked.schema[vector].dataType}
+    if filters:
+        columns |= {_WANT: found.schema[_TAG].dataType, _TAG: found.schema[_TAG].dataType}
+        asked = asked.withColumn(_WANT, F.col(_WANT).cast(found.schema[_TAG].dataType))
+    both = placed(asked, lambda i: (row * groups + i).cast("int"), 0).union(placed(found, lambda i: (i * groups + column).cast("int"), 1))
+    # A task has one cell, its questions first.
+    cells = both.repartitionById(groups * groups, F.col(_CELL)).sortWithinPartitions(_LAST)
+    arrow_schema = _arrow_schema(schema)
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches, taken = iter(batches), []
+        for batch in batches:
+            cut = batch.num_rows - (pc.sum(batch[_LAST]).as_py() or 0)
+            taken.append(batch.slice(0, cut))
+            if cut < batch.num_rows:
+                own = pa.Table.from_batches(taken)
+                if own.num_rows:
+                    questions = _ids(own[question_key]), _matrix(own[vector]), _ids(own[_WANT]) if filters else None
+                    rest = itertools.chain([batch.slice(cut)], batches)
+                    yield from _search_batches(*questions, rest, vector, index_key, k, metric, arrow_schema)
+                return
+
+    return cells.mapInArrow(search, schema)
+
+
 class _Wants:
     """The questions of each wanted value."""
 

@@ -1,7 +1,9 @@
 import json
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -16,6 +18,7 @@ from askloom.functions.vectors import (
     vector_distance,
 )
 from askloom.operators.retrieval import (
+    _search_block,
     content_only,
     documents_from_responses,
     knn,
@@ -267,3 +270,45 @@ def test_wanted_values_reach_the_scan(spark, tmp_path):
     got = nearest(asked, spark.read.parquet(path), 1, match=("want", "tag"))
     assert {(r.question_id, r.chunk_id) for r in got.collect()} == {(1, 3), (2, 5)}
     assert "In(tag, [3,5])" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_past_the_broadcast_size_do_not_reach_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    asked, index = rng.normal(size=(60, 4)), rng.normal(size=(90, 4))
+    q, i = table(spark, asked, "question_id"), table(spark, index, "chunk_id")
+
+    def refuse(self):
+        raise AssertionError("questions came to the driver")
+
+    monkeypatch.setattr(type(q), "toArrow", refuse)
+    hits = nearest(q, i.union(i), 3, broadcast_bytes=200)
+    assert found(hits) == brute(asked, index, 3, "l2sq")
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+@pytest.mark.parametrize("offset", [0, 1e4])
+def test_a_bound_leaves_out_only_what_is_past_it(metric, offset):
+    rng = np.random.default_rng(12)
+    asked, block = offset + rng.normal(size=(300, 6)), offset + rng.normal(size=(5000, 6))
+    ids = pa.array(np.arange(5000) // 2)
+    free = [h for h in _search_block(asked, ids, block, 4, metric)]
+    rows, dist = (np.concatenate([np.asarray(h[n]) for h in free]) for n in (0, 2))
+    assert np.array_equal(rows, np.repeat(np.arange(300), 4))
+    bound = dist.reshape(300, 4)[:, 2]
+    near = [h for h in _search_block(asked, ids, block, 4, metric, bound)]
+    held = {(int(r), i) for q, names, _ in near for r, i in zip(q, names.to_pylist())}
+    first = {(int(r), i) for q, names, d in free for r, i, x in zip(q, names.to_pylist(), d) if x <= bound[r]}
+    assert first <= held
+    if metric == "l2sq":
+        assert not list(_search_block(asked, ids, block + 100, 4, metric, np.full(300, 1.0)))
+
+
+def test_a_block_of_any_length_takes_little_room():
+    rng = np.random.default_rng(13)
+    asked, block = rng.normal(size=(256, 16)), rng.normal(size=(60_000, 16))
+    tracemalloc.start()
+    hits = list(_search_block(asked, pa.array(np.arange(60_000)), block, 5, "l2sq"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(h[0]) for h in hits) == 256 * 5
+    assert peak < 6 * block.nbytes  # the distances of all pairs alone are 16 times the block
