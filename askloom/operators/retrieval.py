@@ -500,6 +500,8 @@ def knn(
         payload = [c for c in index.columns if c not in (index_key, vector)]
     if not payload:
         return hits
+    # Stored, so that Spark knows how few they are: next to them the index is not shuffled for its payload.
+    hits = materialize(hits, "hits")
     lookup = _filtered(index, where).filter(F.col(vector).isNotNull()).select(index_key, *payload)
     found = lookup.join(hits, index_key).withColumn("_hash", content_hash(lookup))
     one = Window.partitionBy(*hits.columns).orderBy("_hash")

@@ -49,10 +49,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _token_runs(toks, length: int, first, count):
-    """Hashes of the ``count`` runs of ``length`` tokens from place ``first`` on (from 1)."""
+def _token_hashes(text: str):
+    return F.transform(tokens(text), lambda t: F.xxhash64(t))
+
+
+def _token_runs(hashes, length: int, first, count):
+    """Hashes of the ``count`` runs of ``length`` tokens, by their hashes, from place ``first`` on (from 1)."""
     places = F.when(count > 0, F.sequence(first, first + count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(toks, i, F.lit(length)), " ")))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(length)]))
 
 
 def _char_runs(text: str, length: int):
@@ -89,7 +93,7 @@ def passage_sources(documents: DataFrame, asked: DataFrame) -> DataFrame:
     searched for the whole passage. The empty passage is in every text.
     """
     documents = documents.where("text IS NOT NULL").select("doc_id", "text", "source")
-    asked = asked.where("question IS NOT NULL").withColumn("_t", tokens("question"))
+    asked = asked.where("question IS NOT NULL").withColumn("_t", _token_hashes("question"))
     inner = F.least(F.size("_t") - 2, F.lit(ANCHOR_WORDS))
     short = F.least(F.length("question"), F.lit(ANCHOR_CHARS))
     asked = asked.withColumn("_kind", F.when(inner > 0, inner).otherwise(-short))
@@ -98,7 +102,7 @@ def passage_sources(documents: DataFrame, asked: DataFrame) -> DataFrame:
     for kind in sorted(r[0] for r in asked.select("_kind").distinct().collect()):  # few kinds at most
         of_kind = asked.where(F.col("_kind") == kind)
         if kind > 0:
-            texts = spread(documents).withColumn("_t", tokens("text"))
+            texts = spread(documents).withColumn("_t", _token_hashes("text"))
             own = _token_runs(F.col("_t"), kind, F.lit(1), F.size("_t") - (kind - 1))
             found = _anchored(texts, of_kind, own, _token_runs(F.col("_t"), kind, F.lit(2), F.size("_t") - 1 - kind))
         elif kind < 0:

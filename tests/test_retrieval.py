@@ -312,3 +312,12 @@ def test_a_block_of_any_length_takes_little_room():
     tracemalloc.stop()
     assert sum(len(h[0]) for h in hits) == 256 * 5
     assert peak < 6 * block.nbytes  # the distances of all pairs alone are 16 times the block
+
+
+def test_the_payload_of_a_few_winners_is_found_without_a_shuffle_of_the_index(spark):
+    rng = np.random.default_rng(14)
+    q = table(spark, rng.normal(size=(5, 4)), "question_id")
+    i = table(spark, rng.normal(size=(90, 4)), "chunk_id").withColumn("text", F.lit("t"))
+    found = knn(q, i, 3, payload=("text",))
+    assert found.count() == 15
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
