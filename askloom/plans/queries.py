@@ -31,7 +31,7 @@ from askloom.streaming import sync, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-FILES = 16  # input files of the streams, read in two batches
+FILES = 16  # input files of the streams, at least; they are read in two batches
 
 
 def query(run: Query) -> Query:
@@ -500,7 +500,7 @@ def incremental_index_build(spark, sf_dir):
         path,
         scratch_path(spark, "stream"),
         embedder=hashed_embedding(fx.DIM),
-        max_files_per_trigger=FILES // 2,
+        max_files_per_trigger=-(-len(written.inputFiles()) // 2),
     ).awaitTermination()
     return index_store.load_index(spark, path).select(
         "chunk_id",
@@ -672,8 +672,11 @@ def split_sql_scripts(spark, sf_dir):
 def _followed(follow, spark, changes, **options) -> str:
     """The path of what ``follow`` makes of a stream over ``changes``, in two batches."""
     source, path = scratch_path(spark, "changes"), scratch_path(spark, "index")
-    changes.repartition(FILES, "doc_id", "version").write.parquet(source)
-    schema = T.StructType([f for f in spark.read.parquet(source).schema])
+    if changes.rdd.getNumPartitions() < FILES:
+        changes = changes.repartition(FILES, "doc_id", "version")
+    changes.write.option("compression", "zstd").parquet(source)
+    written = spark.read.parquet(source)
+    schema = T.StructType([f for f in written.schema])
     follow(
         spark,
         source,

@@ -15,7 +15,7 @@ def save_index(
     ``partition_by`` a low-cardinality metadata column lets filtered retrieval
     skip whole folders.
     """
-    writer = index.write.mode("overwrite" if reset else "errorifexists")
+    writer = index.write.mode("overwrite" if reset else "errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -78,6 +78,7 @@ def sync_stream(
         .writeStream.format("parquet")
         .option("path", index_path)
         .option("checkpointLocation", checkpoint)
+        .option("compression", "zstd")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
@@ -141,6 +142,7 @@ def build_incremental(
         .writeStream.format("parquet")
         .option("path", index_path)
         .option("checkpointLocation", checkpoint)
+        .option("compression", "zstd")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
