@@ -109,5 +109,5 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     unlike a checkpoint still lets later reads prune columns and push filters.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

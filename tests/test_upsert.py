@@ -1,5 +1,6 @@
 import itertools
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from askloom.functions.vectors import hashed_embedding
 from askloom.operators.chunking import chunk_documents
 from askloom.operators.index import apply_changes
+from askloom.session import materialize
 from askloom.streaming import upsert
 from askloom.streaming.sync import current_index, sync_stream
 
@@ -170,3 +172,33 @@ def test_fresh_changes_of_one_batch_and_without_keys(spark, source, tmp_path):
     assert fresh(spark, path, tmp_path) == [(1, "1-0", "t49")]
     log = spark.read.parquet(f"{tmp_path}/index").collect()
     assert sorted((r.doc_id, r.op, r.version) for r in log) == [(1, "insert", 49), (3, "delete", 1)]
+
+
+def test_fresh_changes_hold_their_state_by_bucket(spark, tmp_path):
+    path, schema = str(tmp_path / "many"), spark.createDataFrame([], SCHEMA).schema
+    made = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("insert").alias("op"), F.lit(1).cast("long").alias("version"))
+    made.withColumn("text", F.concat(F.lit("t"), "doc_id")).coalesce(1).write.parquet(path)
+    options = {"size": 3, "overlap": 1, "embedder": hashed_embedding(8), "fresh_only": True}
+    stream = sync_stream(spark, path, schema, str(tmp_path / "index"), str(tmp_path / "checkpoint"), **options)
+    stream.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "index")).select("doc_id").distinct().count() == 1500
+    # One call of Python and one state for a bucket, not for a key.
+    assert stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+
+
+def test_a_batch_stores_its_changes_once_and_the_log_is_packed(spark, source, tmp_path, monkeypatch):
+    path, add = source
+    stored = []
+
+    def counted(df, name="table"):
+        stored.append(name)
+        return materialize(df, name)
+
+    monkeypatch.setattr(upsert, "materialize", counted)
+    for rows in ROWS:
+        add(rows)
+    follow(spark, path, tmp_path / "table")
+    assert len(stored) == len(ROWS)
+    follow(spark, path, tmp_path / "log", sync_stream)
+    files = list((tmp_path / "log" / "index").glob("*.parquet"))
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).num_row_groups} == {"ZSTD"}
