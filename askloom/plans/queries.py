@@ -488,6 +488,11 @@ def snapshot_sync(spark, sf_dir):
     return index.apply_changes(held, changes).select("doc_id", "text", "source")
 
 
+def _half(spark, path) -> int:
+    """How many of the files below ``path`` a stream reads at a time for two batches."""
+    return -(-len(spark.read.parquet(path).inputFiles()) // 2)
+
+
 @query
 def incremental_index_build(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir).select("chunk_id", "source", "text")
@@ -500,7 +505,7 @@ def incremental_index_build(spark, sf_dir):
         path,
         scratch_path(spark, "stream"),
         embedder=hashed_embedding(fx.DIM),
-        max_files_per_trigger=-(-len(written.inputFiles()) // 2),
+        max_files_per_trigger=_half(spark, chunk_dir),
     ).awaitTermination()
     return index_store.load_index(spark, path).select(
         "chunk_id",
