@@ -24,7 +24,7 @@ from askloom.functions.vectors import hashed_embedding, inner_product, model_emb
 from askloom.functions.retry import in_lanes, paced
 from askloom.operators import abbreviations, answering, chunking, embedding, evaluation, index, lists, retrieval, snapshots, tables
 from askloom.plans import fixtures as fx
-from askloom.session import materialize, scratch_path
+from askloom.session import materialize, scratch_path, shuffles_dropped
 from askloom.sources import documents as docs
 from askloom.sources import bucketed_index, index_store
 from askloom.streaming import sync, upsert
@@ -679,9 +679,9 @@ def _followed(follow, spark, changes, **options) -> str:
     source, path = scratch_path(spark, "changes"), scratch_path(spark, "index")
     if changes.rdd.getNumPartitions() < FILES:
         changes = changes.repartition(FILES, "doc_id", "version")
-    changes.write.option("compression", "zstd").parquet(source)
-    written = spark.read.parquet(source)
-    schema = T.StructType([f for f in written.schema])
+    with shuffles_dropped(spark):
+        changes.write.option("compression", "zstd").parquet(source)
+    schema = T.StructType([f for f in spark.read.parquet(source).schema])
     follow(
         spark,
         source,
@@ -691,7 +691,7 @@ def _followed(follow, spark, changes, **options) -> str:
         size=fx.SIZE,
         overlap=fx.OVERLAP,
         embedder=hashed_embedding(fx.DIM),
-        max_files_per_trigger=FILES // 2,
+        max_files_per_trigger=_half(spark, source),
         **options,
     ).awaitTermination()
     return path

@@ -93,6 +93,30 @@ def drop_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Settings of the session that hold inside the block."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Inside the block every write or action deletes its shuffle files as it ends.
+
+    Otherwise they lie on disk until the driver happens to collect its garbage.
+    """
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession):
     """Stored tables live as long as the block: write or collect results inside it."""
@@ -102,6 +126,14 @@ def scratch_scope(spark: SparkSession):
         drop_scratch(spark)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` stored; it cannot be read any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once below the shared folder and read it back.
 
