@@ -488,9 +488,9 @@ def snapshot_sync(spark, sf_dir):
     return index.apply_changes(held, changes).select("doc_id", "text", "source")
 
 
-def _half(spark, path) -> int:
-    """How many of the files below ``path`` a stream reads at a time for two batches."""
-    return -(-len(spark.read.parquet(path).inputFiles()) // 2)
+def _half(written: DataFrame) -> int:
+    """How many files of a stored table a stream reads at a time for two batches."""
+    return -(-len(written.inputFiles()) // 2)
 
 
 @query
@@ -505,7 +505,7 @@ def incremental_index_build(spark, sf_dir):
         path,
         scratch_path(spark, "stream"),
         embedder=hashed_embedding(fx.DIM),
-        max_files_per_trigger=_half(spark, chunk_dir),
+        max_files_per_trigger=_half(spark.read.parquet(chunk_dir)),
     ).awaitTermination()
     return index_store.load_index(spark, path).select(
         "chunk_id",
@@ -681,7 +681,8 @@ def _followed(follow, spark, changes, **options) -> str:
         changes = changes.repartition(FILES, "doc_id", "version")
     with shuffles_dropped(spark):
         changes.write.option("compression", "zstd").parquet(source)
-    schema = T.StructType([f for f in spark.read.parquet(source).schema])
+    written = spark.read.parquet(source)
+    schema = T.StructType([f for f in written.schema])
     follow(
         spark,
         source,
@@ -691,7 +692,7 @@ def _followed(follow, spark, changes, **options) -> str:
         size=fx.SIZE,
         overlap=fx.OVERLAP,
         embedder=hashed_embedding(fx.DIM),
-        max_files_per_trigger=_half(spark, source),
+        max_files_per_trigger=_half(written),
         **options,
     ).awaitTermination()
     return path
